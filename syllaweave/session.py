@@ -53,3 +53,23 @@ def bounded_rows(df: DataFrame, bound: int = BROADCAST_ROWS):
 def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint only if it has at most ``bound`` rows."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark application."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_syllaweave_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="syllaweave-code-"), "syllaweave.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)
+    sc._syllaweave_shipped = True
