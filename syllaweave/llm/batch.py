@@ -61,11 +61,22 @@ def layout(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return b, np.concatenate([[0], np.cumsum(sizes + 1)])
 
 
-def running(b: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
-    """Running polynomial sum; ``values`` replace the byte values."""
-    p = powers(len(b) + 1)[0]
-    out = np.zeros(len(b) + 1, U)
-    np.cumsum((BYTE[b] if values is None else values) * p[: len(b)], dtype=U, out=out[1:])
+def values(texts: list[str], b: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each code point of the laid-out texts, another one for each code point over 255 too."""
+    v = BYTE[b]
+    joined = "\n".join(texts)
+    if not joined.isascii():
+        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        far = np.flatnonzero(cp > 255)
+        v[far] = mix(cp[far].astype(U) * U(0xFF51AFD7ED558CCD)) | U(1)
+    return v
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    """Running polynomial sum of 64-bit values."""
+    p = powers(len(values) + 1)[0]
+    out = np.zeros(len(values) + 1, U)
+    np.cumsum(values * p[: len(values)], dtype=U, out=out[1:])
     return out
 
 
@@ -83,7 +94,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     w = np.diff(np.concatenate([[False], WORD[b], [False]]).astype(np.int8))
     start, end = np.flatnonzero(w == 1), np.flatnonzero(w == -1)
     doc = np.searchsorted(at, start, "right") - 1
-    return doc, span_hash(running(b), start, end), start - at[doc], end - at[doc]
+    return doc, span_hash(running(BYTE[b]), start, end), start - at[doc], end - at[doc]
 
 
 def distinct_in(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

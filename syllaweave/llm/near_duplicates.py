@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from syllaweave.llm import batch as B
 from syllaweave.llm.batch import U
+from syllaweave.operators.graph import components
 from syllaweave.session import small, written
 
 SET_SCHEMA = "key string, sid bigint, n int, s1 bigint, s2 bigint, tokens array<int>"
@@ -163,3 +164,17 @@ def key_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     within = a.join(b, F.col("sid_a") == F.col("sid_b")).filter("key_a < key_b")
     ab = between.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
     return ab.unionByName(within.select("key_a", "key_b"))
+
+
+def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(key, class_id, group_id, n_links)``: ``group_id`` is the least class id that is reached over links.
+
+    ``n_links`` counts the other records of the class and the records of the linked classes.
+    """
+    links = written(pairs.select("sid_a", "sid_b"), "links")
+    both = links.unionByName(links.select(F.col("sid_b").alias("sid_a"), F.col("sid_a").alias("sid_b")))
+    size = members.groupBy("sid").agg(F.count("*").alias("size"))
+    other = both.join(size.withColumnRenamed("sid", "sid_b"), "sid_b").groupBy(F.col("sid_a").alias("sid")).agg(F.sum("size").alias("others"))
+    roots = components(links, "sid_a", "sid_b").select(F.col("node").alias("sid"), "root")
+    out = members.join(size, "sid").join(other, "sid", "left").join(roots, "sid", "left")
+    return out.select("key", F.col("sid").alias("class_id"), F.coalesce("root", "sid").alias("group_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from syllaweave.llm import near_duplicates as nd
+from syllaweave.llm import leakage, long_repeats, near_duplicates as nd, packing
+from syllaweave.session import written
 from syllaweave.sources.tables import table
 
 NEAR = 0.75
@@ -22,5 +23,47 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nd.key_pairs(*_versions(spark, d)).select(F.col("key_a").alias("id_a"), F.col("key_b").alias("id_b")).distinct()
 
 
-QUERIES = {"p4_found": p4_found}
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each version: its class of equal word sets, its group (connected classes) and its number of links."""
+    return nd.groups(*_versions(spark, d))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    p = packing.pack(table(spark, d, "documents"), "doc_id", packing.token_count(F.col("text")))
+    return p.withColumnRenamed("key", "doc_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_containers(spark, d).filter("pieces > 1").select("doc_id").distinct()
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens laid in, and the share of their room that is used."""
+    per = p7_containers(spark, d).groupBy("container").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("used"))
+    return per.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * 1024), 6).alias("fill"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    hits = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_no", "text")
+    return hits.select(F.col("key").alias("doc_id"), F.col("item").alias("item_no"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """For each test item that leaked: in how many documents."""
+    return p8_found(spark, d).groupBy("item_no").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_doc"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = long_repeats.document_pairs(*long_repeats.shared_stretches(table(spark, d, "documents"), "doc_id", "text"))
+    return pairs.select(F.col("key_a").alias("doc_a"), F.col("key_b").alias("doc_b")).distinct()
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document stands elsewhere too, in stretches of 400 characters or more."""
+    docs = table(spark, d, "documents")
+    members, found = long_repeats.shared_stretches(docs, "doc_id", "text")
+    return long_repeats.shared_share(docs, members, written(found, "found"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_shared)}
 ORACLE: dict[str, str] = {}
