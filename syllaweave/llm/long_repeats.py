@@ -7,6 +7,10 @@ without a shared naming table, and equal substrings get equal symbols except nex
 every symbol start is an anchor; the last naming names the ``window`` characters of the symbols from the anchor on. A
 stretch of ``least`` characters holds such a window well inside it, so records that share a stretch share a name. Shared
 names are extended to the full common stretch on the texts themselves, which verifies every character.
+
+A name in more than HOT texts (a notice that many records carry) is not paired up: for its texts the stretches of exactly
+``least`` characters around it are named instead, and two texts meet only at a stretch that can't be moved to the left in
+both. So a notice shorter than ``least`` pairs nothing, and a longer one gives each pair once.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from syllaweave.session import small, written
 
 ROUNDS = 4
 LONG = 48
+#: Texts with one name up to which they are paired directly; beyond it the exact way through whole stretches is taken.
+HOT = 32
 
 
 def recompress(b: np.ndarray, at: np.ndarray, total: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,6 +138,47 @@ def _stretches(least: int):
     return run
 
 
+def _left_first(shared: DataFrame, window: int) -> DataFrame:
+    """Pairs of texts with one name; of overlapping names on one diagonal only the first, as one stretch covers them."""
+    a = shared.select("name", F.col("cls").alias("cls_a"), F.col("pos").alias("pos_a"))
+    b = shared.select("name", F.col("cls").alias("cls_b"), F.col("pos").alias("pos_b"))
+    spots = a.join(b, "name").filter("cls_a < cls_b").select("cls_a", "cls_b", "pos_a", "pos_b")
+    runs = Window.partitionBy("cls_a", "cls_b", F.col("pos_b") - F.col("pos_a")).orderBy("pos_a")
+    return spots.withColumn("prev", F.lag("pos_a").over(runs)).filter(F.col("prev").isNull() | (F.col("pos_a") - F.col("prev") > window)).drop("prev")
+
+
+def _whole(least: int, window: int):
+    """(cls, text, spots) to (name, cls, pos, prev): all stretches of ``least`` characters that hold a hot name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for cls, text, spots in zip(*(rb.column(i).to_pylist() for i in range(3))):
+                b, _ = B.layout([text])
+                v = B.values([text], b)
+                total = B.running(v)
+                p = np.array(spots, np.int64)
+                i, _ = B.expand(np.maximum(0, p + window - least), np.minimum(p, len(text) - least) - np.maximum(0, p + window - least) + 1) if len(text) >= least else (p[:0], p)
+                s = np.unique(i)
+                before = np.where(np.concatenate([[False], np.diff(s) == 1]), v[np.maximum(s - 1, 0)].view(np.int64), 0)
+                name = B.span_hash(total, s, s + least)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.full(len(s), cls)), pa.array(s.astype(np.int32)), pa.array(before, mask=before == 0)], ["name", "cls", "pos", "prev"])
+
+    return run
+
+
+def _hot_spots(long: DataFrame, hot: DataFrame, least: int, window: int) -> DataFrame:
+    """Spots of texts with hot names, by names of whole stretches; only where the stretch can't be moved to the left."""
+    at = hot.groupBy("cls").agg(F.collect_set("pos").alias("spots"))
+    texts = long.select("cls", "text").join(at, "cls").dropDuplicates(["cls"])
+    by = Window.partitionBy("name")
+    rows = texts.select("cls", "text", "spots").mapInArrow(_whole(least, window), "name bigint, cls bigint, pos int, prev bigint")
+    rows = rows.withColumn("lo", F.min("cls").over(by)).withColumn("hi", F.max("cls").over(by)).filter("lo < hi").drop("lo", "hi")
+    rows = written(rows, "whole")
+    a = rows.select("name", F.col("cls").alias("cls_a"), F.col("pos").alias("pos_a"), F.col("prev").alias("prev_a"))
+    b = rows.select("name", F.col("cls").alias("cls_b"), F.col("pos").alias("pos_b"), F.col("prev").alias("prev_b"))
+    return a.join(b, "name").filter("cls_a < cls_b and not coalesce(prev_a = prev_b, false)").select("cls_a", "cls_b", "pos_a", "pos_b")
+
+
 def shared_stretches(docs: DataFrame, key: str, text: str, least: int = 400, window: int = 200) -> tuple[DataFrame, DataFrame]:
     """``members(key, cls)`` of classes of equal texts and ``(cls_a, cls_b, start_a, start_b, chars)`` between classes.
 
@@ -142,14 +189,9 @@ def shared_stretches(docs: DataFrame, key: str, text: str, least: int = 400, win
     names = long.select("cls", "text").mapInArrow(_names(window), "name bigint, cls bigint, pos int")
     by = Window.partitionBy("name")
     shared = names.withColumn("lo", F.min("cls").over(by)).withColumn("hi", F.max("cls").over(by)).filter("lo < hi").select("name", "cls", "pos").distinct()
-    shared = written(shared, "names")
-    a = shared.select("name", F.col("cls").alias("cls_a"), F.col("pos").alias("pos_a"))
-    b = shared.select("name", F.col("cls").alias("cls_b"), F.col("pos").alias("pos_b"))
-    # of consecutive names on one diagonal the first is enough to find the stretch; its end shows which others it covers
-    spots = a.join(b, "name").filter("cls_a < cls_b").select("cls_a", "cls_b", "pos_a", "pos_b")
-    runs = Window.partitionBy("cls_a", "cls_b", F.col("pos_b") - F.col("pos_a")).orderBy("pos_a")
-    spots = spots.withColumn("prev", F.lag("pos_a").over(runs)).filter(F.col("prev").isNull() | (F.col("pos_a") - F.col("prev") > window))
-    pairs = written(spots.groupBy("cls_a", "cls_b").agg(F.collect_list(F.struct("pos_a", "pos_b")).alias("spots")), "spots")
+    shared = written(shared.withColumn("n", F.count("*").over(by)), "names")
+    spots = _left_first(shared.filter(F.col("n") <= HOT), window).unionByName(_hot_spots(long, shared.filter(F.col("n") > HOT), least, window))
+    pairs = written(spots.groupBy("cls_a", "cls_b").agg(F.collect_set(F.struct("pos_a", "pos_b")).alias("spots")), "spots")
     needed = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
     texts = long.join(small(needed), "cls", "left_semi").select("cls", "text").dropDuplicates(["cls"])
     both = pairs.join(texts.select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a")), "cls_a").join(texts.select(F.col("cls").alias("cls_b"), F.col("text").alias("text_b")), "cls_b")

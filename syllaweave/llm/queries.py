@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from syllaweave.llm import leakage, long_repeats, near_duplicates as nd, packing
+from syllaweave.llm import cross_split as cs, leakage, long_repeats, near_duplicates as nd, packing, splits
 from syllaweave.session import written
 from syllaweave.sources.tables import table
 
@@ -28,6 +28,49 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return nd.groups(*_versions(spark, d))
 
 
+def _units_across(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "course_membership").select(F.col("item").alias("id"), F.lower(F.trim("split")).alias("split")).distinct()
+    v = table(spark, d, "courses_small").select("id", F.col("units.text").alias("texts")).filter(F.size("texts") > 0)
+    r = v.join(m.filter(F.col("split").isin("train", "val", "test")), "id").select("id", (F.col("split") == "train").alias("train"), F.posexplode("texts").alias("i", "text"))
+    return cs.record_pairs(*cs.cross_split(r.select("id", (F.col("i") + 1).alias("unit"), "train", "text"), NEAR))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    first = F.col("train_id") < F.col("id")
+    a, b = F.struct(F.col("train_id").alias("id"), F.col("train_unit").alias("unit")), F.struct("id", "unit")
+    p = _units_across(spark, d).select(F.when(first, a).otherwise(b).alias("a"), F.when(first, b).otherwise(a).alias("b"))
+    return p.select(F.col("a.id").alias("id_a"), F.col("a.unit").alias("unit_a"), F.col("b.id").alias("id_b"), F.col("b.unit").alias("unit_b")).distinct()
+
+
+def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Units of val and test versions that stand in a train version too, by split, source and course key."""
+    m = table(spark, d, "course_membership").select(F.col("item").alias("id"), F.lower(F.trim("split")).alias("split")).distinct()
+    c = table(spark, d, "courses_small").select("id", "source", "course_key").dropDuplicates(["id"])
+    hit = _units_across(spark, d).groupBy("id", "unit").agg(F.max("fraction").alias("fraction"), F.countDistinct("train_id").alias("n_train"))
+    return hit.join(m, "id").join(c, "id").groupBy("split", "source", "course_key").agg(F.count("*").alias("n_units"), F.countDistinct("id").alias("n_versions"), F.sum("n_train").alias("n_train_versions"), F.round(F.avg("fraction"), 6).alias("avg_fraction"))
+
+
+SHARES = {"train": 0.6, "val": 0.2, "test": 0.2}
+
+
+def p2_assignment(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "courses_small")
+    a = splits.assign(c, "id", splits.name_key(F.col("course_key"), F.col("course_name")), splits.code_key(F.col("code")), SHARES)
+    return a.join(c.select(F.col("id").alias("key"), "code", splits.year_key(F.col("academic_year")).alias("academic_year")).distinct(), "key").withColumnRenamed("key", "id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_assignment(spark, d).filter(~F.col("code").eqNullSafe(F.col("group_code"))).select("id", "group_code").distinct()
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the splits reach, in each academic year and over all."""
+    by = p2_assignment(spark, d).select("id", "split", "academic_year").distinct().groupBy("academic_year", "split").agg(F.count("*").alias("n"))
+    every = by.groupBy("split").agg(F.sum("n").alias("n")).select(F.lit("all").alias("academic_year"), "split", "n")
+    w = Window.partitionBy("academic_year")
+    return by.unionByName(every).withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 6))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     p = packing.pack(table(spark, d, "documents"), "doc_id", packing.token_count(F.col("text")))
     return p.withColumnRenamed("key", "doc_id")
@@ -65,5 +108,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return long_repeats.shared_share(docs, members, written(found, "found"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_assignment, p2_shares, p4_found, p4_groups, p5_found, p5_overlaps, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_shared)}
 ORACLE: dict[str, str] = {}
