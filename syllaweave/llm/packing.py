@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from syllaweave.session import written
+
 #: Maximal runs of letters, digits and ``_``, and maximal runs of other non-space characters.
 WORD_PUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{IsWhite_Space}]+"
 PACKED = "key bigint, tokens bigint, piece int, pieces int, token_from bigint, token_to bigint, container bigint"
@@ -100,7 +102,7 @@ def pack(df: DataFrame, key: str, tokens: Column, capacity: int = 1024, open_bin
     items too; ties go to the container opened last; an empty table gives no rows. An item of exactly ``capacity``
     tokens isn't divided.
     """
-    sizes = df.select(F.col(key).cast("bigint").alias("key"), tokens.alias("tokens")).distinct()
+    sizes = written(df.select(F.col(key).cast("bigint").alias("key"), tokens.alias("tokens")).distinct(), "sizes")
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     streams = max(1, round(total / (capacity * containers_per_stream)))
     ordered = sizes.repartition(streams, "key").sortWithinPartitions(F.xxhash64("key"), "key", "tokens")

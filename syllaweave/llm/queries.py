@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from syllaweave.llm import cross_split as cs, leakage, long_repeats, near_duplicates as nd, packing, splits
+from syllaweave.llm import consensus, cross_split as cs, leakage, long_repeats, near_duplicates as nd, packing, splits
 from syllaweave.session import written
 from syllaweave.sources.tables import table
 
@@ -71,6 +71,35 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return by.unionByName(every).withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 6))
 
 
+LABELS = ["correct", "wrong"]
+PASSES = [(f"pass{i}", f"pass{i}_by") for i in (1, 2, 3)]
+
+
+def _skill_votes(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.votes(table(spark, d, "jdskills_llm"), "item", PASSES, LABELS)
+
+
+def p6_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Each item: the supported label, the model's label with its probability, and what is stored."""
+    s = consensus.supported(table(spark, d, "jdskills_llm"), "item", [p for p, _ in PASSES], "consensus", LABELS)
+    fitted = consensus.fit(_skill_votes(spark, d), LABELS)
+    model = fitted.posterior.select("item", F.col("label").alias("model_label"), F.round("probability", 6).alias("probability"))
+    return s.join(model, "item", "left")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_labels(spark, d).filter(F.col("stored") != F.col("label")).select("item", "label").distinct()
+
+
+def p6_raters(spark: SparkSession, d: str) -> DataFrame:
+    r = consensus.fit(_skill_votes(spark, d), LABELS).raters
+    return r.select("rater", "n_votes", *(F.round(c, 4).alias(c) for c in ("reliability", "low", "high")))
+
+
+def p6_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.krippendorff(_skill_votes(spark, d))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     p = packing.pack(table(spark, d, "documents"), "doc_id", packing.token_count(F.col("text")))
     return p.withColumnRenamed("key", "doc_id")
@@ -108,5 +137,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return long_repeats.shared_share(docs, members, written(found, "found"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_assignment, p2_shares, p4_found, p4_groups, p5_found, p5_overlaps, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_assignment, p2_shares, p4_found, p4_groups, p5_found, p5_overlaps, p6_found, p6_labels, p6_raters, p6_agreement, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_shared)}
 ORACLE: dict[str, str] = {}
