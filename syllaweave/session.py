@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows up to which a small side may be broadcast or sent to Python workers in a closure.
 BROADCAST_ROWS = 50_000
+#: The same for a side of one BIGINT column (a few MB).
+BROADCAST_KEYS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
