@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from syllaweave.llm import batch as B
 from syllaweave.llm.batch import U
 from syllaweave.operators.graph import components
-from syllaweave.session import small, written
+from syllaweave.session import BROADCAST_KEYS, small, written
 
 SET_SCHEMA = "key string, sid bigint, n int, s1 bigint, s2 bigint, tokens array<int>"
 #: A token is heavy, and its frequency counted, from this share of the records on.
@@ -137,13 +137,13 @@ def class_pairs(sets: DataFrame, threshold: float = 0.8, runs: int = 14, bucket:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a written table) with their exact Jaccard, at ``threshold`` or above."""
+    """Candidate pairs (a written table) with their larger size and exact Jaccard, at ``threshold`` or above."""
     needed = pairs.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).distinct()
-    some = sets.join(small(needed), "sid", "left_semi").select("sid", "n", "tokens").dropDuplicates(["sid"])
+    some = sets.join(small(needed, BROADCAST_KEYS), "sid", "left_semi").select("sid", "n", "tokens").dropDuplicates(["sid"])
     a = some.select(F.col("sid").alias("sid_a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     b = some.select(F.col("sid").alias("sid_b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     common = F.size(F.array_intersect("t_a", "t_b"))
-    j = pairs.join(a, "sid_a").join(b, "sid_b").select("sid_a", "sid_b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("sim"))
+    j = pairs.join(a, "sid_a").join(b, "sid_b").select("sid_a", "sid_b", F.greatest("n_a", "n_b").alias("larger"), (common / (F.col("n_a") + F.col("n_b") - common)).alias("sim"))
     return j.filter(F.col("sim") >= threshold - 1e-12)
 
 
