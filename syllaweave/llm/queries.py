@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from syllaweave.llm import consensus, cross_split as cs, leakage, long_repeats, near_duplicates as nd, packing, splits
-from syllaweave.session import written
+from syllaweave.llm import canonical, consensus, cross_split as cs, leakage, long_repeats, near_duplicates as nd, packing, splits
+from syllaweave.session import small, written
+from syllaweave.functions.text import reduced
+from syllaweave.plans.packed_queries import prerequisite_values
 from syllaweave.sources.tables import table
 
 NEAR = 0.75
@@ -19,6 +21,26 @@ def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return nd.near_duplicates(table(spark, d, "courses_small"), "id", version_text(), NEAR)
 
 
+def typed_names(spark: SparkSession, d: str) -> DataFrame:
+    """(id, field, pos, value): course names, and each value of the prerequisites."""
+    c = table(spark, d, "courses_small")
+    names = c.filter(F.trim("course_name") != "").select("id", F.lit("course_name").alias("field"), F.lit(1).cast("bigint").alias("pos"), F.col("course_name").alias("value")).distinct()
+    return names.unionByName(prerequisite_values(spark, d).select("id", F.lit("prerequisites").alias("field"), "pos", "value"))
+
+
+def p3_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """Every typed name with the catalogue entry it means (0: none), the edits needed and the stage that found it."""
+    k = table(spark, d, "course_catalog")
+    entries = k.select(F.col("catalog_no").alias("entry"), F.col("canonical_name").alias("name"), F.lit(0).alias("rank")).unionByName(k.select(F.col("catalog_no").alias("entry"), F.col("former_name").alias("name"), F.lit(1).alias("rank")))
+    return canonical.map_values(typed_names(spark, d), "value", entries).withColumnRenamed("entry", "catalog_no")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    exact = table(spark, d, "course_catalog").select(reduced(F.col("canonical_name")).alias("key")).distinct()
+    m = p3_mapped(spark, d).withColumn("key", reduced(F.col("value")))
+    return m.join(small(exact), "key", "left_anti").select("id", "field", "pos", "catalog_no").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nd.key_pairs(*_versions(spark, d)).select(F.col("key_a").alias("id_a"), F.col("key_b").alias("id_b")).distinct()
 
@@ -137,5 +159,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return long_repeats.shared_share(docs, members, written(found, "found"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_assignment, p2_shares, p4_found, p4_groups, p5_found, p5_overlaps, p6_found, p6_labels, p6_raters, p6_agreement, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_assignment, p2_shares, p3_found, p3_mapped, p4_found, p4_groups, p5_found, p5_overlaps, p6_found, p6_labels, p6_raters, p6_agreement, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_shared)}
 ORACLE: dict[str, str] = {}
