@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from syllaweave.functions import rules
-from syllaweave.functions.text import reduced, squeezed
+from syllaweave.functions.text import let, reduced, squeezed
 
 
 def programme_of(folder: Column) -> Column:
@@ -124,9 +124,12 @@ def passages(text: Column, size: int = 100, overlap: int = 25) -> Column:
     """Word windows of ``size`` words that overlap by ``overlap``; the last one reaches the end. No words: no window."""
     words = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     step = size - overlap
-    last = F.ceil(F.greatest(F.size(words) - size, F.lit(0)) / step) * step
-    starts = F.sequence(F.lit(0), last.cast("int"), F.lit(step))
-    return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        last = F.ceil(F.greatest(F.size(w) - size, F.lit(0)) / step) * step
+        return F.transform(F.sequence(F.lit(0), last.cast("int"), F.lit(step)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+
+    return let(words, lambda w: F.when(F.size(w) > 0, windows(w)).otherwise(F.array().cast("array<string>")))
 
 
 def first_words(text: Column, n: int, suffix: str = "") -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import Column, functions as F
 NONE_WORDS = ["na", "nil", "none", "notapplicable", "noprerequisite", "noprerequisites", "notrequired", "nothing", "no"]
 
 
+def let(c: Column, f) -> Column:  # noqa: ANN001
+    """``f`` of ``c`` with ``c`` evaluated once, also where ``f`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def reduced(c: Column) -> Column:
     """Lower-case, ``&`` read as ``and``, only a-z and 0-9 kept; NULL stays NULL."""
     return F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit("and")), "[^a-z0-9]+", "")
@@ -20,11 +25,7 @@ def squeezed(c: Column) -> Column:
 
 def words_of(c: Column) -> Column:
     """Maximal runs of a-z and 0-9 of the lower-cased text, in order; NULL gives an empty array."""
-    return F.expr(f"regexp_extract_all(lower(coalesce({_sql(c)}, '')), '[a-z0-9]+', 0)") if isinstance(c, str) else F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-
-
-def _sql(name: str) -> str:
-    return f"`{name}`"
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

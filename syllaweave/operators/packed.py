@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from syllaweave.functions.text import NONE_WORDS, reduced
+from syllaweave.functions.text import NONE_WORDS, let, reduced
 from syllaweave.session import bounded_rows
 
 #: Private-use characters: value border, literal, protected joining word.
@@ -51,9 +51,7 @@ def packed_values(c: Column, names: list[str] = ()) -> Column:
     # curly quotes and paired single quotes become one kind of quote
     s = F.translate(F.coalesce(c, F.lit("")), "“”„«»", '"' * 5)
     s = F.regexp_replace(s, r"(?<![\p{L}\p{N}'])'([^'\"]*(?:''[^'\"]*)*)'(?![\p{L}\p{N}'])", '"$1"')
-    pieces = F.split(s, '"', -1)
-    n = F.size(pieces)
-    indexed = F.transform(pieces, lambda t, i: F.struct(t.alias("t"), i.alias("i"), n.alias("n")))
+    indexed = let(F.split(s, '"', -1), lambda pieces: F.transform(pieces, lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.size(pieces).alias("n"))))
     start = F.struct(F.lit("").alias("skel"), F.array().cast("array<string>").alias("lits"), F.lit(None).cast("string").alias("open"))
 
     def fold(acc: Column, p: Column) -> Column:
@@ -71,7 +69,7 @@ def packed_values(c: Column, names: list[str] = ()) -> Column:
         )
 
     folded = F.aggregate(indexed, start, fold)
-    return F.when(reduced(F.coalesce(c, F.lit(""))).isin("", *NONE_WORDS), F.array().cast("array<struct<value:string,quoted:boolean>>")).otherwise(_values(folded, names))
+    return F.when(reduced(F.coalesce(c, F.lit(""))).isin("", *NONE_WORDS), F.array().cast("array<struct<value:string,quoted:boolean>>")).otherwise(let(folded, lambda x: _values(x, names)))
 
 
 def _values(folded: Column, names: list[str]) -> Column:
