@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,8 +30,6 @@ def token_count(text: Column) -> Column:
 
 def vocabulary_token_count(text: Column, path: str):
     """Tokens of a public tokenizer file (``tokenizers`` JSON) at ``path``, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("bigint")
     def count(s: pd.Series) -> pd.Series:
         from tokenizers import Tokenizer
