@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from syllaweave.llm import canonical, consensus, cross_split as cs, leakage, long_repeats, near_duplicates as nd, packing, splits
+from syllaweave.llm.oracle import ORACLE  # noqa: F401
 from syllaweave.session import small, written
 from syllaweave.functions.text import reduced
 from syllaweave.plans.packed_queries import prerequisite_values
@@ -160,4 +161,3 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_assignment, p2_shares, p3_found, p3_mapped, p4_found, p4_groups, p5_found, p5_overlaps, p6_found, p6_labels, p6_raters, p6_agreement, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_shared)}
-ORACLE: dict[str, str] = {}
