@@ -293,13 +293,15 @@ def map_values(df: DataFrame, value: str, entries: DataFrame, shard: int = SHARD
     """``df`` with the entry that each value means: ``entry`` (0: none), ``distance``, ``rank`` and ``stage``.
 
     ``entries`` has ``entry BIGINT, name STRING, rank INT``. NULL and empty values mean none; equal distances go to the
-    canonical name, then to the least entry; an empty list matches nothing. Columns of ``df`` named like the result's
-    must be renamed before. Values are matched once for each batch, so a frequent value costs no shuffle.
+    canonical name, then to the least entry; an empty list matches nothing. Columns of ``df`` that are named like one of
+    the result get ``_in`` appended. Values are matched once for each batch, so a frequent value costs no shuffle.
     """
     clean = entries.filter(F.col("entry").isNotNull() & F.col("name").isNotNull()).select("entry", "name", "rank").distinct()
     shards = max(1, math.ceil(clean.count() / shard))
     keep = [c for c in df.columns if c != value] + [value]
-    base = df.select(*keep)
+    taken = {c: f"{c}_in" for c in ("entry", "distance", "rank", "stage") if c in keep and c != value}
+    base = df.select(*keep).withColumnsRenamed(taken)
+    keep = [taken.get(c, c) for c in keep]
     schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes) + ", entry bigint, distance int, rank int, stage int"
     out = None
     for k in range(shards):
