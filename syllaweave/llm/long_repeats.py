@@ -31,8 +31,12 @@ LONG = 48
 HOT = 32
 
 
-def recompress(b: np.ndarray, at: np.ndarray, total: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbol names, starts and owners of the texts laid out in ``b`` with running hash ``total``, after ``rounds`` rounds."""
+def recompress(b: np.ndarray, at: np.ndarray, total: np.ndarray, window: int = 1 << 30, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol names, starts and owners of the texts laid out in ``b`` with running hash ``total``, after ``rounds`` rounds.
+
+    The last array holds the starts of runs that fill ``window`` characters: inside them there is no symbol border.
+    """
+    runs = [np.zeros(0, np.int64)]
     w = (B.WORD | ((np.arange(256) >= 65) & (np.arange(256) <= 90)) | (np.arange(256) >= 192))[b]
     begin = w.copy()
     begin[1:] &= ~w[:-1]
@@ -58,6 +62,8 @@ def recompress(b: np.ndarray, at: np.ndarray, total: np.ndarray, rounds: int = R
         first = np.flatnonzero(head)
         run = np.diff(np.append(first, len(sym)))
         sym, start, doc = sym[first], start[first], doc[first]
+        stop = np.minimum(np.append(start[1:], len(b)), at[doc + 1] - 1)
+        runs.append(start[(run > 1) & (stop - start >= window)])
         sym = np.where(run > 1, B.mix(sym * U(0xC2B2AE3D27D4EB4F) + run.astype(U)), sym)
         right = (B.mix(sym ^ U(r * 0x9E3779B9)) >> U(63)).astype(bool)
         pair = np.zeros(len(sym), bool)
@@ -68,7 +74,7 @@ def recompress(b: np.ndarray, at: np.ndarray, total: np.ndarray, rounds: int = R
         i = np.flatnonzero(pair)
         named[i] = B.mix(sym[i] * U(0x165667B19E3779F9) + sym[i + 1])
         sym, start, doc = named[~taken], start[~taken], doc[~taken]
-    return sym, start, doc
+    return sym, start, doc, np.concatenate(runs)
 
 
 def _names(window: int):
@@ -80,11 +86,8 @@ def _names(window: int):
             for lo, hi in B.slices([len(t) for t in texts]):
                 b, at = B.layout(texts[lo:hi])
                 total = B.running(B.values(texts[lo:hi], b))
-                _, start, doc = recompress(b, at, total)
-                # a run of one character that fills a window has no symbol border inside: its start is an anchor too
-                edge = np.flatnonzero(np.diff(np.concatenate([[-1], b.astype(np.int16), [-1]])))
-                far = edge[:-1][np.diff(edge) >= window]
-                start = np.unique(np.concatenate([start, far]))
+                _, start, _, runs = recompress(b, at, total, window)
+                start = np.unique(np.concatenate([start, runs]))
                 doc = np.searchsorted(at, start, "right") - 1
                 keep = start + window <= at[doc + 1] - 1
                 start, doc = start[keep], doc[keep]
