@@ -6,7 +6,8 @@ a hash of path and word, so that two records at the threshold share one child in
 expected bucket is small: the product of its words' document frequencies times the number of records is at most
 ``bucket``. Words in a thousandth of the records or more have their counted frequency (a table of at most
 1000 x mean set size entries, whatever the corpus size), rarer ones count as a thousandth. Buckets are compared by a
-128-bit sketch, and pairs that pass are verified on the whole sets. Runs repeat until the target recall.
+128-bit sketch, and pairs that pass are verified on the whole sets. Runs repeat until the target recall. Records of a
+bucket that stays large (a text that a third of the records carry) meet over pairs of minima of their words instead.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from syllaweave.llm import batch as B
 from syllaweave.llm.batch import U
@@ -27,6 +28,8 @@ SET_SCHEMA = "key string, sid bigint, n int, s1 bigint, s2 bigint, tokens array<
 #: A token is heavy, and its frequency counted, from this share of the records on.
 HEAVY = 1 / 1000
 MAX_DEPTH = 9
+#: Records in a bucket up to which it is compared pair by pair; the records of larger ones meet over minima bands.
+HOT, BANDS = 2_000, 30
 
 
 def _sketch(doc: np.ndarray, h: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -120,13 +123,30 @@ def paths(heavy: np.ndarray, logs: np.ndarray, n_records: int, threshold: float,
     return walk
 
 
+def band_keys(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """``hot`` with a ``digest`` for each of BANDS pairs of minima of the record's words, a row for each.
+
+    Two records at 0.75 have none in common once in 10**10 times, whatever else all of the records share.
+    """
+    some = sets.select("sid", "tokens").join(hot.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+    least = lambda i: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(i))))
+    keys = F.array(*(F.xxhash64(F.lit(i), least(2 * i), least(2 * i + 1)) for i in range(BANDS)))
+    return some.select("sid", F.explode(keys).alias("digest")).join(hot, "sid")
+
+
 def class_pairs(sets: DataFrame, threshold: float = 0.8, runs: int = 14, bucket: int = 32) -> DataFrame:
     """``(sid_a, sid_b, sim)`` of distinct sets with Jaccard >= ``threshold``; ``sets`` must be a written table."""
     n_records = sets.count()
     heavy, logs = heavy_tokens(sets, n_records)
     rows = sets.select("sid", "n", "s1", "s2", "tokens").mapInArrow(paths(heavy, logs, n_records, threshold, runs, bucket), "path bigint, sid bigint, n int, s1 bigint, s2 bigint")
-    a = rows.select("path", *(F.col(c).alias(f"{c}_a") for c in ("sid", "n", "s1", "s2")))
-    b = rows.select("path", *(F.col(c).alias(f"{c}_b") for c in ("sid", "n", "s1", "s2")))
+    rows = rows.withColumn("in_bucket", F.count("*").over(Window.partitionBy("path"))).filter("in_bucket > 1")
+    rows = written(rows, "paths")
+    small_ones = rows.filter(F.col("in_bucket") <= HOT).drop("in_bucket")
+    if rows.filter(F.col("in_bucket") > HOT).limit(1).count():
+        hot = rows.filter(F.col("in_bucket") > HOT).select("sid", "n", "s1", "s2").distinct()
+        small_ones = small_ones.unionByName(band_keys(hot, sets).select(F.col("digest").alias("path"), "sid", "n", "s1", "s2"))
+    a = small_ones.select("path", *(F.col(c).alias(f"{c}_a") for c in ("sid", "n", "s1", "s2")))
+    b = small_ones.select("path", *(F.col(c).alias(f"{c}_b") for c in ("sid", "n", "s1", "s2")))
     # agreeing bits have mean (1 + J) / 2; four standard deviations of slack lose about one pair in 30,000
     agree = (1 + threshold) / 2
     differ = math.ceil(128 * (1 - agree + 4 * math.sqrt(agree * (1 - agree) / 128)))

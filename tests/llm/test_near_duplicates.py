@@ -35,8 +35,9 @@ def corpus(n, seed, size=40, vocabulary=400, turn=False):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.75, 0.8])
-def test_chosen_path_against_all_pairs(spark, threshold):
+@pytest.mark.parametrize(("threshold", "hot"), [(0.75, 2000), (0.8, 2000), (0.75, 2)])
+def test_chosen_path_against_all_pairs(spark, threshold, hot, monkeypatch):
+    monkeypatch.setattr(nd, "HOT", hot)
     texts = [*corpus(160, 1), "", None, "one two", "one two", "One, TWO!", "x " * 5, "long " + " ".join(f"z{i}" for i in range(20_000))]
     rows = [(f"k{i:03d}", t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([*rows, rows[0], (None, "one two")], "key string, text string").withColumn("sid", F.lit(1)).withColumn("n", F.lit("x"))
