@@ -18,8 +18,8 @@ STOP_WORDS = (
 
 def terms(text: Column, ngrams: int = 1) -> Column:
     """Words of two characters or more without function words; then runs of up to ``ngrams`` of them."""
-    stop = F.array(*map(F.lit, STOP_WORDS.split()))
-    w = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda x: ~F.array_contains(stop, x))
+    stop = "|".join(STOP_WORDS.split())
+    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![a-z0-9])(?!(?:{stop})(?![a-z0-9]))[a-z0-9]{{2,}}"), F.lit(0))
     if ngrams == 1:
         return w
     return let(w, lambda x: F.concat(x, F.transform(F.filter(F.arrays_zip(x.alias("a"), F.slice(x, 2, 1 << 30).alias("b")), lambda p: p["b"].isNotNull()), lambda p: F.concat_ws(" ", p["a"], p["b"]))))
