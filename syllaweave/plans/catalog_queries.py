@@ -154,9 +154,9 @@ def cat_dedupe_hash(spark: SparkSession, d: str) -> DataFrame:
     return K.content_hash(versions(spark, d), ("objectives",)).filter("n_blocks > 1").select("kept_id", "n_blocks", F.size("sources").cast("bigint").alias("n_sources"))
 
 
-@query(f"""WITH {CTE} SELECT count(*) AS courses, count(DISTINCT course_key) AS names, count_if(coalesce(prerequisites, '') <> '') AS with_prerequisites, count_if(coalesce(objectives, '') <> '') AS with_objectives,
-count_if(len(outcomes) > 0) AS with_outcomes, sum(coalesce(len(outcomes), 0))::BIGINT AS outcomes_total, sum(len(list_filter(outcomes, lambda o: len(o.k_levels) > 0)))::BIGINT AS outcomes_with_level, sum(coalesce(len(units), 0))::BIGINT AS units_total,
-sum(len(list_filter(units, lambda u: coalesce(u.title, '') <> '')))::BIGINT AS units_with_title, sum(len(list_filter(units, lambda u: u.hours IS NOT NULL)))::BIGINT AS units_with_hours, count_if(coalesce(code, '') <> '') AS with_code, count_if(credits IS NOT NULL) AS with_credits FROM c""")
+@query(f"""WITH {CTE} SELECT count(*) AS courses, count(DISTINCT course_key) AS names, count_if(coalesce(prerequisites, '') <> '')::BIGINT AS with_prerequisites, count_if(coalesce(objectives, '') <> '')::BIGINT AS with_objectives,
+count_if(len(outcomes) > 0)::BIGINT AS with_outcomes, sum(coalesce(len(outcomes), 0))::BIGINT AS outcomes_total, sum(len(list_filter(outcomes, lambda o: len(o.k_levels) > 0)))::BIGINT AS outcomes_with_level, sum(coalesce(len(units), 0))::BIGINT AS units_total,
+sum(len(list_filter(units, lambda u: coalesce(u.title, '') <> '')))::BIGINT AS units_with_title, sum(len(list_filter(units, lambda u: u.hours IS NOT NULL)))::BIGINT AS units_with_hours, count_if(coalesce(code, '') <> '')::BIGINT AS with_code, count_if(credits IS NOT NULL)::BIGINT AS with_credits FROM c""")
 def cat_parse_stats(spark: SparkSession, d: str) -> DataFrame:
     return K.statistics(versions(spark, d))
 

@@ -233,7 +233,7 @@ def evl_best_threshold(spark: SparkSession, d: str) -> DataFrame:
     return M.best_threshold(_labelled(spark, d), "y", "s", ["source"]).withColumn("f1", F.round("f1", 6))
 
 
-@query(f"WITH {LAB}, c AS (SELECT source, count_if(y AND s >= 1000) AS tp, count_if(NOT y AND s >= 1000) AS fp, count_if(y AND s < 1000) AS fn FROM d0 GROUP BY 1) SELECT source, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c")
+@query(f"WITH {LAB}, c AS (SELECT source, count_if(y AND s >= 1000)::BIGINT AS tp, count_if(NOT y AND s >= 1000)::BIGINT AS fp, count_if(y AND s < 1000)::BIGINT AS fn FROM d0 GROUP BY 1) SELECT source, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c")
 def evl_prf(spark: SparkSession, d: str) -> DataFrame:
     m = M.prf(_labelled(spark, d), "y", F.col("s") >= 1000, ["source"])
     return m.select("source", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))

@@ -144,7 +144,7 @@ def ov_fusion_ecdf(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CTE}, b AS (SELECT programme, course_a, course_b, unit_a, arg_max(unit_b, sim) AS unit_b, max(sim) AS sim FROM p GROUP BY ALL)
-SELECT programme, course_a, course_b, count_if(sim >= {TAU}) AS n_common, count_if(sim < {TAU}) AS n_unique_a, coalesce(array_to_string((list(unit_a || '~' || unit_b ORDER BY sim DESC, unit_a) FILTER (WHERE sim >= {TAU}))[1:12], ';'), '') AS common FROM b GROUP BY ALL""")
+SELECT programme, course_a, course_b, count_if(sim >= {TAU})::BIGINT AS n_common, count_if(sim < {TAU})::BIGINT AS n_unique_a, coalesce(array_to_string((list(unit_a || '~' || unit_b ORDER BY sim DESC, unit_a) FILTER (WHERE sim >= {TAU}))[1:12], ';'), '') AS common FROM b GROUP BY ALL""")
 def ov_topics(spark: SparkSession, d: str) -> DataFrame:
     """Units of the first course with a match in the second (best first, twelve at most shown), and how many have none."""
     by = ["programme", "course_a", "course_b"]
