@@ -1,16 +1,18 @@
 """Same or near-same records across splits, by content-defined chunks.
 
 A record's words are cut where a rolling hash over two words says so (every second place on average), once for each of
-three seeds; chunks of three words or more are digested, and so is the whole set of words. Digests are joined across the
-training split and the others only, and the lengths of shared chunks add up to an overlap fraction for each pair of
-records. Pairs that share more than one shortest chunk, or whose sketches are close, are
-verified by the exact Jaccard of their word sets. Records with equal word sets are one
-class; copies in a batch emit their chunks once. A digest in more than HOT classes (a common opening) pairs nothing: its
-records meet over BANDS pairs of minima of their word sets instead, which no near-same pair escapes.
+three seeds. Digests of chunks of three words or more are joined across the training split and the others only, and
+pairs that share more than one shortest chunk are candidates. Whatever their chunks, all records also meet over bands of
+minima of their word sets, so many that a pair at the threshold has none in common with a chance of MISS at most. A band
+takes more minima the more records there are, so that unrelated records don't meet more often in a larger table.
+Candidates are verified by the exact Jaccard of their word sets. The overlap fraction of a verified pair counts the words
+of all its shared chunks, of any length and however common. Records with equal word sets are one class; copies in a
+batch carry their words once. A digest in more than HOT rows (a common opening) makes no candidates: bands do.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,45 +21,33 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from syllaweave.llm import batch as B
 from syllaweave.llm.batch import U
-from syllaweave.llm.near_duplicates import _lists, band_keys, verified
+from syllaweave.llm.near_duplicates import verified
 from syllaweave.session import written
 
 SEEDS, DIVISOR, LEAST_WORDS, HOT = (1, 2, 3), 2, 3, 256
-CHUNKED = "id string, unit bigint, train boolean, sid bigint, n int, sketch bigint, tokens array<int>, digests array<bigint>, lens array<int>"
-#: Bits of a record's sketch, and differing bits up to which a pair with one shortest chunk in common is verified:
-#: records at 0.75 differ in about 5 bits, unrelated ones in about 16 and seldom in 10 or fewer.
-SKETCH, NEAR_BITS = 44, 10
+#: One minimum more in a band for each factor RARE of records; unrelated units agree in a minimum once in about 26 times.
+RARE, MISS = 16, 1e-5
+#: ``words`` holds 32-bit hashes of the words in their order, NULL in a copy; ``seq`` is a hash of that order.
+RECORDS = "id string, unit bigint, train boolean, sid bigint, seq bigint, n int, words array<int>"
 
 
-def chunks(doc: np.ndarray, h: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, digest and number of words of the chunks of LEAST_WORDS words or more."""
+def chunks(doc: np.ndarray, h: np.ndarray, seed: int, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, digest and number of words of the chunks of ``least`` words or more."""
     x = B.mix(h ^ U(seed * 0x9E3779B9))
     before = np.concatenate([np.zeros(1, U), x[:-1]])
-    cut = B.mix(before * U(0x9E3779B97F4A7C15) + x) % U(DIVISOR) == 0
     last = np.ones(len(h), bool)
     last[:-1] = doc[1:] != doc[:-1]
+    before[1:][last[:-1]] = 0
+    cut = B.mix(before * U(0x9E3779B97F4A7C15) + x) % U(DIVISOR) == 0
     end = np.flatnonzero(cut | last) + 1
     start = np.concatenate([[0], end[:-1]])
-    keep = end - start >= LEAST_WORDS
+    keep = end - start >= least
     start, end = start[keep], end[keep]
     return doc[start], B.span_hash(B.running(h), start, end), end - start
 
 
-def _sketch(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """A bit for each of SKETCH cells that a record's words fall into: of the cell's least hash, 0 if it is empty."""
-    v = B.mix(h ^ U(0x5BD1E995))
-    cell = doc * SKETCH + ((v >> U(20)) % U(SKETCH)).astype(np.int64)
-    order = np.lexsort((v, cell))
-    c, x = cell[order], v[order]
-    first = np.ones(len(c), bool)
-    first[1:] = c[1:] != c[:-1]
-    bits = np.zeros(n * SKETCH, U)
-    bits[c[first]] = B.mix(x[first]) & U(1)
-    return (bits.reshape(n, SKETCH) << np.arange(SKETCH, dtype=U)).sum(axis=1, dtype=U)
-
-
-def make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, unit, train, text) to CHUNKED; a copy within the batch has no chunks."""
+def make_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, unit, train, text) to RECORDS; a copy within the batch has no words."""
     for rb in batches:
         texts = [t or "" for t in rb.column(3).to_pylist()]
         train = rb.column(2).to_numpy(zero_copy_only=False)
@@ -68,64 +58,130 @@ def make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d, u = B.distinct_in(doc, h)
             size = np.diff(np.searchsorted(d, np.arange(n + 1)))
             sid = B.mix(B.group_sum(d, B.mix(u), n) + size.astype(U))
-            sequence = B.group_sum(doc, B.mix(h + B.mix(np.arange(len(h), dtype=U) - np.searchsorted(doc, doc).astype(U))), n)
+            seq = B.group_sum(doc, B.mix(h + B.mix(np.arange(len(h), dtype=U) - np.searchsorted(doc, doc).astype(U))), n)
+            some = np.flatnonzero(size)
             new = np.zeros(n, bool)
-            for i in np.flatnonzero(size):
-                k = (int(sequence[i]), bool(train[lo + i]))
+            for i in some:
+                k = (int(seq[i]), bool(train[lo + i]))
                 if k not in seen:
                     seen.add(k)
                     new[i] = True
-            parts = [chunks(doc, h, s) for s in SEEDS] if len(h) else []
-            whole = np.flatnonzero(size)
-            cd = np.concatenate([*(p[0] for p in parts), whole])
-            cg = np.concatenate([*(p[1] for p in parts), B.mix(sid[whole] + U(7))])
-            cl = np.concatenate([*(p[2] for p in parts), size[whole]])
-            keep = new[cd]
-            cd, cg, cl = cd[keep], cg[keep], cl[keep]
-            order = np.argsort(cd, kind="stable")
-            cd, cg, cl = cd[order], cg[order], cl[order]
-            some = whole
-            count = np.diff(np.searchsorted(cd, np.arange(n + 1)))[some]
-            at = np.concatenate([[0], np.cumsum(count)])
+            short = (h >> U(32)).astype(np.uint32).view(np.int32)[new[doc]]
+            count = np.where(new, np.bincount(doc, minlength=n), 0)[some]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(short, pa.int32()), mask=pa.array(~new[some]))
             take = pa.array(some + lo)
-            cols = [rb.column(0).take(take), rb.column(1).take(take), rb.column(2).take(take), pa.array(sid.view(np.int64)[some]), pa.array(size[some].astype(np.int32)), pa.array(_sketch(d, u, n).view(np.int64)[some]), _lists(np.concatenate([[0], np.cumsum(size[some])]), (u >> U(32)).astype(np.uint32).view(np.int32), pa.int32()), _lists(at, cg.view(np.int64), pa.int64()), _lists(at, cl.astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "unit", "train", "sid", "n", "sketch", "tokens", "digests", "lens"])
+            cols = [rb.column(0).take(take), rb.column(1).take(take), rb.column(2).take(take), pa.array(sid.view(np.int64)[some]), pa.array(seq.view(np.int64)[some]), pa.array(size[some].astype(np.int32)), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "unit", "train", "sid", "seq", "n", "words"])
+
+
+def _hashes(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and 64-bit hash of each word of the lists, none of which is empty."""
+    count = np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(len(count)), count), B.mix(lists.flatten().to_numpy().view(np.uint32).astype(U) + U(0x2545F491))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, train, words) to (digest, sid, info): ``info`` is twice the length, and one for training."""
+    for rb in batches:
+        for at in range(0, rb.num_rows, 5_000):
+            part = rb.slice(at, 5_000)
+            doc, h = _hashes(part.column(2))
+            parts = [chunks(doc, h, s) for s in SEEDS]
+            d, g, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            sid, train = part.column(0).to_numpy()[d], part.column(1).to_numpy(zero_copy_only=False)[d].astype(np.int64)
+            info = np.minimum(c, 0xFFFF) * 2 + train
+            order = np.lexsort((info, sid, g))
+            g, sid, info = g[order], sid[order], info[order]
+            first = np.ones(len(g), bool)
+            first[1:] = (g[1:] != g[:-1]) | (sid[1:] != sid[:-1]) | (info[1:] != info[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(sid[first]), pa.array(info[first].astype(np.int32))], ["digest", "sid", "info"])
+
+
+def bands(threshold: float, n_records: int) -> tuple[int, int]:
+    """Minima in a band, and bands, so many that all differ in a pair at ``threshold`` with a chance of MISS at most."""
+    minima = max(2, math.ceil(math.log(max(n_records, 1), RARE)))
+    return minima, math.ceil(math.log(MISS) / math.log1p(-min(threshold**minima, 1 - 1e-9)))
+
+
+def _minima(minima: int, n_bands: int):
+    """A function for ``mapInArrow``: (sid, train, words) to (digest, sid, train), a row for each band; each class once in a batch."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            sides = rb.column(0).to_numpy() ^ rb.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            once = np.sort(np.unique(sides, return_index=True)[1])
+            for at in range(0, len(once), 2_000):
+                part = rb.take(pa.array(once[at : at + 2_000]))
+                doc, h = _hashes(part.column(2))
+                start = np.searchsorted(doc, np.arange(part.num_rows))
+                out = []
+                for i in range(n_bands):
+                    digest = np.full(part.num_rows, i + 1, U)
+                    for j in range(0, minima, 2):  # a 64-bit hash serves for two minima
+                        v = B.mix(h ^ U((i * minima + j + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                        for x in (v.astype(np.uint32), (v >> U(32)).astype(np.uint32))[: minima - j]:
+                            digest = B.mix(digest * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, start))
+                    out.append(digest)
+                cols = [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(part.column(0).to_numpy(), n_bands)), pa.array(np.tile(part.column(1).to_numpy(zero_copy_only=False), n_bands))]
+                yield pa.RecordBatch.from_arrays(cols, ["digest", "sid", "train"])
+
+    return make
+
+
+PAIRS = "sid_a bigint, sid_b bigint, seq_a bigint, seq_b bigint, fraction double, sim double"
+
+
+def _fractions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid_a, sid_b, seq_a, seq_b, sim, words_a, words_b) to PAIRS: the words in shared chunks, of those of the longer text.
+
+    A word counts once for each seed whose chunk around it stands in the other text too.
+    """
+    for rb in batches:
+        for at in range(0, rb.num_rows, 2_000):
+            part = rb.slice(at, 2_000)
+            n = part.num_rows
+            (da, ha), (db, hb) = _hashes(part.column(5)), _hashes(part.column(6))
+            total = np.zeros(n)
+            for seed in SEEDS:
+                (ca, ga, la), (cb, gb, lb) = chunks(da, ha, seed, 1), chunks(db, hb, seed, 1)
+                ka, kb = B.mix(ga + B.mix(ca.astype(U))), B.mix(gb + B.mix(cb.astype(U)))
+                total += np.minimum(np.bincount(ca, la * np.isin(ka, kb), n), np.bincount(cb, lb * np.isin(kb, ka), n))
+            fraction = total / (len(SEEDS) * np.maximum(np.bincount(da, minlength=n), np.bincount(db, minlength=n)))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(fraction), part.column(4)], ["sid_a", "sid_b", "seq_a", "seq_b", "fraction", "sim"])
 
 
 def cross_split(records: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Members ``(id, unit, train, sid)`` and ``(sid_a, sid_b, fraction, sim)``: a training class and one of the others.
+    """Members ``(id, unit, train, sid, seq)`` and PAIRS: a training text and one of the others, of near-same classes.
 
     ``records`` has ``id, unit, train, text``. A NULL or word-less text takes no part; repeated rows count once; a class
-    that stands on both sides isn't a pair with itself here, see :func:`record_pairs`.
+    that stands on both sides is a pair with itself.
     """
-    made = written(records.select(F.col("id").cast("string"), F.col("unit").cast("bigint"), F.col("train").cast("boolean"), F.col("text")).mapInArrow(make_chunks, CHUNKED), "chunks")
-    # a row is three numbers: digest, class, and one that holds sketch, length and side
-    kept = made.filter(F.size("digests") > 0)
-    flat = kept.select("sid", "train", "sketch", F.explode(F.arrays_zip("digests", "lens")).alias("c"))
-    info = F.shiftleft("sketch", 17).bitwiseOR((F.least(F.col("c.lens"), F.lit(0xFFFF)) * 2 + F.col("train").cast("int")).cast("bigint"))
-    flat = flat.select(F.col("c.digests").alias("digest"), "sid", info.alias("info"))
+    made = written(records.select(F.col("id").cast("string"), F.col("unit").cast("bigint"), F.col("train").cast("boolean"), F.col("text")).mapInArrow(make_records, RECORDS), "records")
+    bodies = made.filter("words is not null")
+    source = bodies.select("sid", "train", "words")
+    flat = source.mapInArrow(_digests, "digest bigint, sid bigint, info int")
     by, side = Window.partitionBy("digest"), F.col("info").bitwiseAND(F.lit(1))
     both = flat.withColumn("rows", F.count("*").over(by)).withColumn("some", F.max(side).over(by)).withColumn("every", F.min(side).over(by)).filter("some > every")
-    length = F.shiftright("info", 1).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    both = written(both.select("digest", "sid", (side == 1).alias("train"), length.alias("len"), F.shiftrightunsigned("info", 17).alias("sketch"), (F.col("rows") > HOT).alias("hot")).distinct(), "digests")
-    usable = both.filter("not hot").select("digest", "sid", "train", "len", "sketch", F.lit(0).alias("band"))
-    if both.filter("hot").limit(1).count():
-        usable = usable.unionByName(band_keys(both.filter("hot").select("sid", "train", "sketch").distinct(), kept).select("digest", "sid", "train", F.lit(0).alias("len"), "sketch", F.lit(1).alias("band")))
-    a = usable.filter("train").select("digest", "len", "band", F.col("sid").alias("sid_a"), F.col("sketch").alias("sketch_a"))
-    b = usable.filter("not train").select("digest", F.col("sid").alias("sid_b"), F.col("sketch").alias("sketch_b"))
-    differ = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
-    shared = a.join(b, "digest").filter("sid_a <> sid_b").groupBy("sid_a", "sid_b").agg(F.sum("len").alias("words"), F.max("band").alias("band"), F.first(differ).alias("differ"))
-    shared = shared.filter((F.col("words") > LEAST_WORDS) | (F.col("band") > 0) | (F.col("differ") <= NEAR_BITS)).drop("differ", "band")
-    pairs = written(shared, "overlaps")
-    sims = verified(pairs.select("sid_a", "sid_b"), made.select("sid", "n", "tokens"), threshold)
-    sims = pairs.join(sims, ["sid_a", "sid_b"]).select("sid_a", "sid_b", (F.col("words") / (len(SEEDS) * F.col("larger"))).alias("fraction"), "sim")
-    return made.select("id", "unit", "train", "sid").distinct(), sims
+    usable = written(both.filter(F.col("rows") <= HOT).select("digest", "sid", (side == 1).alias("train"), F.shiftright("info", 1).alias("len")).distinct(), "digests")
+    a, b = usable.filter("train").select("digest", "len", F.col("sid").alias("sid_a")), usable.filter("not train").select("digest", F.col("sid").alias("sid_b"))
+    chunked = a.join(b, "digest").filter("sid_a <> sid_b").groupBy("sid_a", "sid_b").agg(F.sum("len").alias("words")).filter(F.col("words") > LEAST_WORDS).select("sid_a", "sid_b")
+    keys = _minima(*bands(threshold, made.count()))
+    x, y = (source.filter(c).mapInArrow(keys, "digest bigint, sid bigint, train boolean").select("digest", F.col("sid").alias(s)) for c, s in (("train", "sid_a"), ("not train", "sid_b")))
+    banded = x.join(y, "digest").filter("sid_a <> sid_b").select("sid_a", "sid_b")
+    pairs = written(chunked.unionByName(banded).distinct(), "pairs")
+    sims = verified(pairs, bodies.select("sid", "n", F.col("words").alias("tokens")), threshold).select("sid_a", "sid_b", "sim")
+    text = lambda c, s: bodies.filter(c).dropDuplicates(["sid", "seq"]).select(F.col("sid").alias(f"sid_{s}"), F.col("seq").alias(f"seq_{s}"), F.col("words").alias(f"words_{s}"))
+    sides = bodies.groupBy("sid").agg(F.max("train").alias("some"), F.min("train").alias("every")).filter("some and not every")
+    sims = written(sims.unionByName(sides.select(F.col("sid").alias("sid_a"), F.col("sid").alias("sid_b"), F.lit(1.0).alias("sim"))), "sims")
+    needed = lambda c, s: text(c, s).join(sims.select(f"sid_{s}").distinct(), f"sid_{s}", "left_semi")
+    full = sims.join(needed("train", "a"), "sid_a").join(needed("not train", "b"), "sid_b")
+    found = full.select("sid_a", "sid_b", "seq_a", "seq_b", "sim", "words_a", "words_b").mapInArrow(_fractions, PAIRS)
+    return made.select("id", "unit", "train", "sid", "seq").distinct(), found
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(train_id, train_unit, id, unit, fraction, sim)`` for each near-same pair of records of different owners."""
-    a = members.filter("train").select(F.col("id").alias("train_id"), F.col("unit").alias("train_unit"), F.col("sid").alias("sid_a"))
-    b = members.filter("not train").select("id", "unit", F.col("sid").alias("sid_b"))
-    between = pairs.join(a, "sid_a").join(b, "sid_b").select("train_id", "train_unit", "id", "unit", "fraction", "sim")
-    same = a.join(b, F.col("sid_a") == F.col("sid_b")).select("train_id", "train_unit", "id", "unit", F.lit(1.0).alias("fraction"), F.lit(1.0).alias("sim"))
-    return between.unionByName(same).filter("train_id <> id")
+    a = members.filter("train").select(F.col("id").alias("train_id"), F.col("unit").alias("train_unit"), F.col("sid").alias("sid_a"), F.col("seq").alias("seq_a"))
+    b = members.filter("not train").select("id", "unit", F.col("sid").alias("sid_b"), F.col("seq").alias("seq_b"))
+    between = pairs.join(a, ["sid_a", "seq_a"]).join(b, ["sid_b", "seq_b"])
+    return between.select("train_id", "train_unit", "id", "unit", "fraction", "sim").filter("train_id <> id")

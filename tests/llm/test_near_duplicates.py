@@ -80,6 +80,22 @@ def test_cross_split_against_all_pairs(spark, hot, monkeypatch):
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 40
 
 
+def splits(spark, texts):
+    return spark.createDataFrame([(f"v{i:04d}", 1, i % 2 == 0, t) for i, t in enumerate(texts)], "id string, unit long, train boolean, text string")
+
+
+def test_cross_split_finds_pairs_without_a_common_chunk(spark):
+    rng = random.Random(6)
+    texts = []
+    for i in range(300):
+        w = [f"w{i}x{j}" for j in range(7)]
+        texts.append(" ".join(w))
+        rng.shuffle(w)
+        texts.append(" ".join([*w[:6], *([] if i % 2 else [w[6]])] if i % 3 else w + [f"v{i}", f"u{i}"]))
+    got = {(r.train_id, r.id) for r in cs.record_pairs(*cs.cross_split(splits(spark, texts), 0.75)).collect()}
+    assert got == {(f"v{i:04d}", f"v{i + 1:04d}") for i in range(0, 600, 2)}
+
+
 def shares(a, b, n):
     grams = {a[i : i + n] for i in range(len(a) - n + 1)}
     return any(b[i : i + n] in grams for i in range(len(b) - n + 1))
