@@ -96,6 +96,20 @@ def test_cross_split_finds_pairs_without_a_common_chunk(spark):
     assert got == {(f"v{i:04d}", f"v{i + 1:04d}") for i in range(0, 600, 2)}
 
 
+@pytest.mark.parametrize("hot", [256, 0])
+def test_cross_split_fraction_counts_all_shared_text(spark, hot, monkeypatch):
+    monkeypatch.setattr(cs, "HOT", hot)
+    texts = []
+    for i in range(50):
+        w = [f"w{i}x{j}" for j in range(60)]
+        texts += [" ".join(w), " ".join([*w[:30], f"new{i}", *w[31:]])]
+    texts += ["the same words in both", "the same words in both"]
+    rows = cs.record_pairs(*cs.cross_split(splits(spark, texts), 0.75)).collect()
+    assert len(rows) == 51 and max(r.fraction for r in rows) == 1.0
+    changed = [r.fraction for r in rows if r.sim < 1]
+    assert len(changed) == 50 and all(0.75 < f < 60 / 61 for f in changed) and sum(changed) / 50 > 0.9
+
+
 def shares(a, b, n):
     grams = {a[i : i + n] for i in range(len(a) - n + 1)}
     return any(b[i : i + n] in grams for i in range(len(b) - n + 1))
