@@ -6,7 +6,8 @@ a hash of path and word, so that two records at the threshold share one child in
 expected bucket is small: the product of its words' document frequencies times the number of records is at most
 ``bucket``. Words in a thousandth of the records or more have their counted frequency (a table of at most
 1000 x mean set size entries, whatever the corpus size), rarer ones count as a thousandth. Buckets are compared by a
-128-bit sketch, and pairs that pass are verified on the whole sets. Runs repeat until the target recall. Records of a
+128-bit sketch, and pairs that pass are verified on the whole sets. Runs repeat until a pair at the threshold, one set
+inside the other, is met with the chance RECALL by a branching model over the counted word frequencies. Records of a
 bucket that stays large (a text that a third of the records carry) meet over pairs of minima of their words instead.
 """
 
@@ -28,6 +29,8 @@ SET_SCHEMA = "key string, sid bigint, n int, s1 bigint, s2 bigint, tokens array<
 #: A token is heavy, and its frequency counted, from this share of the records on.
 HEAVY = 1 / 1000
 MAX_DEPTH = 9
+#: Target chance that the runs meet a pair at the threshold, and the least number of runs.
+RECALL, LEAST_RUNS = 0.999, 14
 #: Records in a bucket up to which it is compared pair by pair; the records of larger ones meet over minima bands.
 HOT, BANDS = 2_000, 30
 
@@ -76,6 +79,30 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c)], ["token", "c"])
 
 
+def runs_needed(logs: np.ndarray, n_records: int, mean_size: float, bucket: int, recall: float = RECALL) -> int:
+    """Runs after which a pair at the threshold has met with the chance ``recall``, at the size ratio that is hardest.
+
+    With one set inside the other a node has one common child in expectation (Poisson, which is below the binomial), with
+    equal sizes more. A common path goes on until the frequencies of its words, drawn as often as records hold them, have
+    used up the logarithm that ends it. The chance of one run falls as that gets longer with the number of records.
+    """
+    step, floor = 0.05, math.log(HEAVY)
+    share = np.exp(logs) / max(mean_size, 1.0)
+    total = min(1.0, share.sum())
+    # used-up logarithms round upwards to a path that is longer by less than one step a word
+    used = np.bincount(np.minimum((-logs / step).astype(int), int(-floor / step)), share, int(-floor / step) + 1)
+    used = used.astype(float)
+    used[-1] += 1 - total
+    used /= used.sum()
+    left = max(0, math.ceil(math.log(max(n_records, 1) / bucket) / step))
+    chance = np.ones(left + 1)
+    for _ in range(MAX_DEPTH):
+        # after a word that uses up u steps: 1 if nothing is left, else the chance of the rest
+        after = [sum(used[u] * (1.0 if u >= s else chance[s - u]) for u in range(len(used))) for s in range(left + 1)]
+        chance = 1 - np.exp(-np.array(after))
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-chance[left])))
+
+
 def heavy_tokens(sets: DataFrame, n_records: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens in a share of HEAVY or more of the records, and the logarithms of their shares; counted over all records."""
     least = max(2, math.ceil(HEAVY * n_records))
@@ -134,10 +161,14 @@ def band_keys(hot: DataFrame, sets: DataFrame) -> DataFrame:
     return some.select("sid", F.explode(keys).alias("digest")).join(hot, "sid")
 
 
-def class_pairs(sets: DataFrame, threshold: float = 0.8, runs: int = 14, bucket: int = 32) -> DataFrame:
-    """``(sid_a, sid_b, sim)`` of distinct sets with Jaccard >= ``threshold``; ``sets`` must be a written table."""
-    n_records = sets.count()
+def class_pairs(sets: DataFrame, threshold: float = 0.8, runs: int | None = None, bucket: int = 32) -> DataFrame:
+    """``(sid_a, sid_b, sim)`` of distinct sets with Jaccard >= ``threshold``; ``sets`` must be a written table.
+
+    Without ``runs`` there are as many as RECALL takes, LEAST_RUNS at least.
+    """
+    n_records, mean_size = sets.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
     heavy, logs = heavy_tokens(sets, n_records)
+    runs = runs or max(LEAST_RUNS, runs_needed(logs, n_records, mean_size, bucket))
     rows = sets.select("sid", "n", "s1", "s2", "tokens").mapInArrow(paths(heavy, logs, n_records, threshold, runs, bucket), "path bigint, sid bigint, n int, s1 bigint, s2 bigint")
     rows = rows.withColumn("in_bucket", F.count("*").over(Window.partitionBy("path"))).filter("in_bucket > 1")
     rows = written(rows, "paths")
@@ -167,7 +198,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return j.filter(F.col("sim") >= threshold - 1e-12)
 
 
-def near_duplicates(df: DataFrame, key: str, text: Column, threshold: float = 0.8, runs: int = 14) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, key: str, text: Column, threshold: float = 0.8, runs: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Membership ``(key, sid)`` of classes of equal word sets, and ``(sid_a, sid_b, sim)`` between classes.
 
     Keys are strings; a NULL key, a NULL or word-less text gives no row; rows delivered twice count once; an empty table

@@ -46,6 +46,40 @@ def test_chosen_path_against_all_pairs(spark, threshold, hot, monkeypatch):
     assert got == want and len(want) > 40
 
 
+def test_runs_grow_with_the_records():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    logs = np.log(np.minimum(0.5, 0.6 / np.arange(1, 600)))
+    runs = [nd.runs_needed(logs, n, 40.0, 32) for n in (100, 20_000, 2_000_000, 200_000_000)]
+    assert runs == sorted(runs) and runs[3] > runs[2] > runs[1] > runs[0] and nd.runs_needed(logs, 20_000, 40.0, 32, 0.9) < runs[1]
+    # one run of the walk itself, on a set inside another of 4/3 the size, whose words are drawn by the same frequencies
+    p = np.exp(logs) / np.exp(logs).sum()
+    met, n_tries, stop = 0, 3000, np.log(32 / 2_000_000)
+    for _ in range(n_tries):
+        words_log = logs[rng.choice(len(p), 30, p=p)]
+        nodes = [0.0]
+        for depth in range(nd.MAX_DEPTH):
+            nodes = [a + w for a in nodes for w in words_log[rng.random(30) < 1 / 30]]
+            if depth == nd.MAX_DEPTH - 1 and nodes or any(a <= stop for a in nodes):
+                met += 1
+                break
+    assert (1 - met / n_tries) ** nd.runs_needed(logs, 2_000_000, float(np.exp(logs).sum()), 32) <= 1.3 * (1 - nd.RECALL)
+
+
+def test_production_runs_reach_the_target(spark):
+    rng = random.Random(9)
+    texts = []
+    for i in range(400):
+        w = [f"w{int(600 ** rng.random())}" for _ in range(20)] + [f"r{i}x{j}" for j in range(10)]
+        w = list(dict.fromkeys(w))
+        texts += [" ".join(w), " ".join(w + [f"e{i}x{j}" for j in range(len(w) // 3)])]
+    df = spark.createDataFrame([(f"k{i:04d}", t) for i, t in enumerate(texts)], "key string, text string")
+    got = {(r.key_a, r.key_b) for r in nd.key_pairs(*nd.near_duplicates(df, "key", F.col("text"), 0.75)).collect()}
+    want = {(f"k{i:04d}", f"k{i + 1:04d}") for i in range(0, 800, 2)}
+    assert got >= want or len(want - got) <= 2
+
+
 def test_a_third_copies_and_groups(spark):
     df = spark.range(300).select(F.concat(F.lit("k"), "id").alias("key"), F.when(F.col("id") % 3 == 0, F.lit("same words in all of these copies")).otherwise(F.concat_ws(" ", *(F.concat(F.lit(f"q{i}x"), F.col("id")) for i in range(12)))).alias("text"))
     members, pairs = nd.near_duplicates(df, "key", F.col("text"))
