@@ -92,7 +92,12 @@ def pre_split_v2(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pre_flags_v2(spark: SparkSession, d: str) -> DataFrame:
     e, _, covered, first = _schedule(spark, d)
-    return P.flags_v2(_phrases(e, covered, v2=True), P.exact_names(e), first, e)
+    units = versions(spark, d).select("id", P.topics(F.col("units")).alias("texts"))
+    view = P.checkable(K.programme_view(e.select("programmes", "common", "sem", "family", "ay", "id", "course_name", "prerequisites")), covered)
+    own = view.select("programme", "family", "id").join(units, "id").select("programme", "family", F.explode("texts").alias("text")).distinct()
+    shown = K.representatives(e.select("family", "id", "ay", "n_source_files")).select("family", "id")
+    taught = shown.join(units, "id").select("family", F.explode("texts").alias("text")).distinct()
+    return P.flags_v2(_phrases(e, covered, v2=True), P.exact_names(e), first, e, own, taught)
 
 
 DIF = f"""{CTE}, s AS (SELECT programme, ay, count(*) AS n FROM sn GROUP BY ALL HAVING count(*) >= 10), y AS (SELECT ay, lead(ay) OVER (ORDER BY ay) AS next_ay FROM (SELECT DISTINCT ay FROM e WHERE ay <> '')),

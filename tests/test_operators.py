@@ -185,3 +185,16 @@ def test_rouge(spark):
     r = A.rouge_n(F.lit("a b c a"), F.lit("a a a d"), 1)
     x = spark.range(1).select(r["precision"], r["recall"], A.rouge_l(F.lit("a b c d"), F.lit("a c x d"))).first()
     assert x[0] == 0.5 and x[1] == 0.5 and abs(x[2] - 0.75) < 1e-12
+
+
+def test_flags_of_the_second_rule_set(spark):
+    from syllaweave.operators import prerequisites as P
+
+    e = spark.createDataFrame([("1", "f1", "Data Structures"), ("2", "f2", "Compiler Design"), ("3", "f3", "Operating System Design"), ("4", "f4", "Quantum Optics Lab")], "id string, family string, course_name string")
+    first = spark.createDataFrame([("P", "f1", 1), ("P", "f2", 5), ("P", "f3", 2), ("P", "f4", 6)], "programme string, family string, first_sem int")
+    phrases = ["Parsing automata", "Graph traversal", "Quantum optic laboratory lab", "Medieval poetry", "Operating systems design", "Skills of all kinds"]
+    ph = spark.createDataFrame([("P", "f2", "Compiler Design", 5, p, p.lower().replace(" ", "")) for p in phrases], "programme string, family string, course_name string, sem int, phrase string, phrase_key string")
+    own = spark.createDataFrame([("P", "f2", "automata parsing")], "programme string, family string, text string")
+    taught = spark.createDataFrame([("f1", "graph traversal orders"), ("f4", "medieval poetry")], "family string, text string")
+    got = {(r.phrase, r.resolved_family, r.type) for r in P.flags_v2(ph, P.exact_names(e), first, e, own, taught).collect()}
+    assert got == {("Quantum optic laboratory lab", "f4", "not_offered_earlier"), ("Medieval poetry", None, "assumed_topic_not_taught")}
