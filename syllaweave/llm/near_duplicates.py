@@ -1,24 +1,29 @@
 """Near-duplicate records with small edits: a chosen-path similarity join.
 
-Each record is its set of distinct words. Records with equal sets are collapsed to one class first. In every run a
-record walks random paths: at a node it keeps each of its words with probability ``1 / (threshold * size)``, decided by
-a hash of path and word, so that two records at the threshold share one child in expectation. A path ends once the
-expected bucket is small: the product of its words' document frequencies times the number of records is at most
-``bucket``. Words in a thousandth of the records or more have their counted frequency (a table of at most
-1000 x mean set size entries, whatever the corpus size), rarer ones count as a thousandth. Buckets are compared by a
-128-bit sketch, and pairs that pass are verified on the whole sets. Runs repeat until a pair at the threshold, one set
-inside the other, is met with the chance RECALL by a branching model over the counted word frequencies. Records of a
-bucket that stays large (a text that a third of the records carry) meet over pairs of minima of their words instead.
+Each record is its set of distinct words; records with equal sets are one class, and only one record of a class goes on.
+In every run a record walks random paths: at a node it keeps each of its words with probability ``1 / (threshold *
+size)``, decided by a hash of path and word, so that two records at the threshold share one child in expectation. A path
+ends once the expected bucket is small: the product of its words' document frequencies times the number of records is at
+most ``bucket``. Frequent words have their counted frequency (a table of at most FREQUENT entries, whatever the corpus),
+rarer ones count as the least frequent of them. Buckets arrive sorted by their path and are compared as they stream by,
+by a 128-bit sketch of each record; pairs that pass are verified on the whole sets. There are as many runs as it takes
+to meet a pair at the threshold, one set inside the other, with the chance RECALL by a branching model over the counted
+word frequencies.
+
+Words that stand together (a notice that a third of the records carry) make a bucket larger than its path predicts. The
+records of a bucket over LARGE are split further, on their rarest words: two sets at the threshold or above share one of
+the ``n - ceil(threshold * n) + 1`` rarest words of each, so these buckets lose nothing. What is still over LARGE is
+compared as pairs of blocks of that size, spread over tasks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from syllaweave.llm import batch as B
 from syllaweave.llm.batch import U
@@ -26,13 +31,13 @@ from syllaweave.operators.graph import components
 from syllaweave.session import BROADCAST_KEYS, small, written
 
 SET_SCHEMA = "key string, sid bigint, n int, s1 bigint, s2 bigint, tokens array<int>"
-#: A token is heavy, and its frequency counted, from this share of the records on.
-HEAVY = 1 / 1000
+#: A token's frequency is counted from this share of the records on, or from the share that FREQUENT tokens can reach.
+HEAVY, FREQUENT = 1 / 1000, 100_000
 MAX_DEPTH = 9
-#: Target chance that the runs meet a pair at the threshold, and the least number of runs.
-RECALL, LEAST_RUNS = 0.999, 14
-#: Records in a bucket up to which it is compared pair by pair; the records of larger ones meet over minima bands.
-HOT, BANDS = 2_000, 30
+#: Chance that the runs meet a pair at the threshold.
+RECALL = 0.9995
+#: Records that a bucket is expected to hold at the end of a path, and that it may hold before it is split further.
+BUCKET, LARGE = 2_048, 8_192
 
 
 def _sketch(doc: np.ndarray, h: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -53,18 +58,25 @@ def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Arr
 
 
 def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) to one row of SET_SCHEMA for each record that has a word."""
+    """(key, text) to one row of SET_SCHEMA for each record that has a word; a copy within the batch has no tokens."""
     for rb in batches:
         keys, texts = rb.column(0), [t or "" for t in rb.column(1).to_pylist()]
+        seen = np.zeros(0, np.int64)
         for lo, hi in B.slices([len(t) for t in texts]):
             doc, h, _, _ = B.words(texts[lo:hi])
             doc, h = B.distinct_in(doc, h)
             n = hi - lo
-            edge = np.searchsorted(doc, np.arange(n + 1))
-            size = np.diff(edge)
-            sid = B.mix(B.group_sum(doc, B.mix(h), n) + size.astype(U))
+            size = np.diff(np.searchsorted(doc, np.arange(n + 1)))
+            sid = B.mix(B.group_sum(doc, B.mix(h), n) + size.astype(U)).view(np.int64)
+            new = np.zeros(n, bool)
+            new[np.unique(sid, return_index=True)[1]] = True
+            new &= (size > 0) & ~np.isin(sid, seen)
+            seen = np.concatenate([seen, sid[new]])
             some = np.flatnonzero(size)
-            cols = [keys.take(pa.array(some + lo)), pa.array(sid.view(np.int64)[some]), pa.array(size[some].astype(np.int32)), pa.array(_sketch(doc, h, n, 0x1234567).view(np.int64)[some]), pa.array(_sketch(doc, h, n, 0x89ABCDE).view(np.int64)[some]), _lists(np.concatenate([[0], np.cumsum(size[some])]), (h >> U(32)).astype(np.uint32).view(np.int32), pa.int32())]
+            tokens = (h >> U(32)).astype(np.uint32).view(np.int32)[new[doc]]
+            offsets = np.concatenate([[0], np.cumsum(np.where(new, size, 0)[some])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()), mask=pa.array(~new[some]))
+            cols = [keys.take(pa.array(some + lo)), pa.array(sid[some]), pa.array(size[some].astype(np.int32)), *(pa.array(_sketch(doc, h, n, seed).view(np.int64)[some]) for seed in (0x1234567, 0x89ABCDE)), lists]
             yield pa.RecordBatch.from_arrays(cols, ["key", "sid", "n", "s1", "s2", "tokens"])
 
 
@@ -73,20 +85,28 @@ def word_sets(df: DataFrame, key: str, text: Column) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), text.alias("text")).mapInArrow(make_sets, SET_SCHEMA)
 
 
+def bodies(sets: DataFrame) -> DataFrame:
+    """One row with tokens for each class of ``sets`` (a written table); only rows of repeated classes meet a join."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    own = sets.filter("tokens is not null").withColumn("at", at)
+    kept = own.groupBy("sid").agg(F.min("at").alias("kept"), F.count("*").alias("c")).filter("c > 1").select("sid", "kept")
+    return own.join(small(kept), "sid", "left").filter("kept is null or at = kept").drop("at", "kept", "key")
+
+
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         t, c = np.unique(rb.column(0).flatten().to_numpy(), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c)], ["token", "c"])
 
 
-def runs_needed(logs: np.ndarray, n_records: int, mean_size: float, bucket: int, recall: float = RECALL) -> int:
+def runs_needed(logs: np.ndarray, floor: float, n_records: int, mean_size: float, bucket: int, recall: float = RECALL) -> int:
     """Runs after which a pair at the threshold has met with the chance ``recall``, at the size ratio that is hardest.
 
     With one set inside the other a node has one common child in expectation (Poisson, which is below the binomial), with
-    equal sizes more. A common path goes on until the frequencies of its words, drawn as often as records hold them, have
+    equal sets more. A common path goes on until the frequencies of its words, drawn as often as records hold them, have
     used up the logarithm that ends it. The chance of one run falls as that gets longer with the number of records.
     """
-    step, floor = 0.05, math.log(HEAVY)
+    step = 0.05
     share = np.exp(logs) / max(mean_size, 1.0)
     total = min(1.0, share.sum())
     # used-up logarithms round upwards to a path that is longer by less than one step a word
@@ -103,37 +123,54 @@ def runs_needed(logs: np.ndarray, n_records: int, mean_size: float, bucket: int,
     return max(1, math.ceil(math.log(1 - recall) / math.log1p(-chance[left])))
 
 
-def heavy_tokens(sets: DataFrame, n_records: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in a share of HEAVY or more of the records, and the logarithms of their shares; counted over all records."""
-    least = max(2, math.ceil(HEAVY * n_records))
-    rows = sets.select("tokens").mapInArrow(_count_tokens, "token int, c bigint").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).collect()  # at most mean set size / HEAVY rows
-    rows.sort()
-    return np.array([r[0] for r in rows], np.int32), np.log(np.array([max(r[1], 1) / max(n_records, 1) for r in rows]))
+def frequent_tokens(sets: DataFrame, n_records: int, mean_size: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Tokens from a least share of the records on, the logarithms of their shares, and that of the least share.
+
+    Shares are counted over all records. At most ``mean_size / share`` tokens reach a share, so at most FREQUENT come out.
+    """
+    share = max(HEAVY, mean_size / FREQUENT)
+    least = max(2, math.ceil(share * n_records))
+    counted = sets.select("tokens").mapInArrow(_count_tokens, "token int, c bigint").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    rows = sorted(tuple(r) for r in counted.collect())  # FREQUENT rows at most
+    return np.array([r[0] for r in rows], np.int32), np.log(np.array([max(r[1], 1) / max(n_records, 1) for r in rows])), math.log(share)
+
+
+def _logs(tokens: np.ndarray, heavy: np.ndarray, logs: np.ndarray, floor: float) -> np.ndarray:
+    if not len(heavy):
+        return np.full(len(tokens), floor)
+    at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
+    return np.where(heavy[at] == tokens, logs[at], floor)
+
+
+def _token_hash(tokens: np.ndarray) -> np.ndarray:
+    return B.mix(tokens.view(np.uint32).astype(U) + U(0x51ED270B))
 
 
-def paths(heavy: np.ndarray, logs: np.ndarray, n_records: int, threshold: float, runs: int, bucket: int):
-    """A function for ``mapInArrow``: (sid, n, s1, s2, tokens) to (path, sid, n, s1, s2); copies in a batch give one."""
-    floor, stop = math.log(HEAVY), math.log(bucket / max(n_records, 1))
+ROWS = "path bigint, sid bigint, s1 bigint, s2 bigint"
+
+
+def paths(heavy: np.ndarray, logs: np.ndarray, floor: float, n_records: int, threshold: float, runs: int, bucket: int):
+    """A function for ``mapInArrow``: (sid, n, s1, s2, tokens) to ROWS, a row for each path that ends."""
+    stop = math.log(bucket / max(n_records, 1))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             sid, n, s1, s2 = (rb.column(i).to_numpy() for i in range(4))
             offsets, tokens = rb.column(4).offsets.to_numpy(), rb.column(4).values.to_numpy()
-            _, first = np.unique(sid, return_index=True)
-            for lo in range(0, len(first), 400):
-                some = first[lo : lo + 400]
+            for lo in range(0, len(sid), 400):
+                some = np.arange(lo, min(lo + 400, len(sid)))
                 starts, size = offsets[some].astype(np.int64), n[some].astype(np.int64)
                 index, owner = B.expand(starts, size)
                 t = tokens[index]
-                at = np.minimum(np.searchsorted(heavy, t), max(len(heavy) - 1, 0))
-                log = np.where(heavy[at] == t, logs[at], floor) if len(heavy) else np.full(len(t), floor)
-                th = B.mix(t.view(np.uint32).astype(U) + U(0x51ED270B))
+                log, th = _logs(t, heavy, logs, floor), _token_hash(t)
                 begin = np.cumsum(size) - size
                 most = np.minimum(2.0**64 - 2049, 2.0**64 / (threshold * size)).astype(U)
                 doc = np.repeat(np.arange(len(some)), runs)
                 path = np.tile(B.mix(np.arange(1, runs + 1, dtype=U) * U(0xD6E8FEB86659FD93)), len(some))
                 logp = np.zeros(len(doc))
                 out_doc, out_path = [], []
+                if stop >= 0:  # no more records than a bucket holds: they are compared as they are
+                    out_doc, out_path, doc, path, logp = [np.arange(len(some))], [np.ones(len(some), U)], doc[:0], path[:0], logp[:0]
                 for depth in range(1, MAX_DEPTH + 1):
                     idx, own = B.expand(begin[doc], size[doc])
                     keep = np.flatnonzero(B.mix(th[idx] ^ path[own]) < most[doc[own]])
@@ -143,48 +180,164 @@ def paths(heavy: np.ndarray, logs: np.ndarray, n_records: int, threshold: float,
                     out_doc.append(doc[done])
                     out_path.append(path[done])
                     doc, path, logp = doc[~done], path[~done], logp[~done]
-                d, p = np.concatenate(out_doc), np.concatenate(out_path)
-                row = some[d]
-                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(sid[row]), pa.array(n[row]), pa.array(s1[row]), pa.array(s2[row])], ["path", "sid", "n", "s1", "s2"])
+                row = some[np.concatenate(out_doc)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_path).view(np.int64)), pa.array(sid[row]), pa.array(s1[row]), pa.array(s2[row])], ["path", "sid", "s1", "s2"])
 
     return walk
 
 
-def band_keys(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """``hot`` with a ``digest`` for each of BANDS pairs of minima of the record's words, a row for each.
+def rarest(heavy: np.ndarray, logs: np.ndarray, floor: float, threshold: float):
+    """A function for ``mapInArrow``: (sid, n, s1, s2, tokens) to ROWS, a row for each of the rarest words of the set."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            sid, n, s1, s2 = (rb.column(i).to_numpy() for i in range(4))
+            t = rb.column(4).flatten().to_numpy()
+            owner = np.repeat(np.arange(len(n)), n)
+            h = _token_hash(t)
+            order = np.lexsort((h, _logs(t, heavy, logs, floor), owner))
+            rank = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
+            keep = rank < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)
+            row = owner[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(B.mix(h[order][keep] ^ U(0x7F4A7C15)).view(np.int64)), pa.array(sid[row]), pa.array(s1[row]), pa.array(s2[row])], ["path", "sid", "s1", "s2"])
+
+    return split
 
-    Two records at 0.75 have none in common once in 10**10 times, whatever else all of the records share.
+
+def tolerance(threshold: float) -> int:
+    """Bits of 128 in which two sketches may differ: agreeing bits have mean (1 + J) / 2; four standard deviations of slack lose about one pair in 30,000."""
+    agree = (1 + threshold) / 2
+    return math.ceil(128 * (1 - agree + 4 * math.sqrt(agree * (1 - agree) / 128)))
+
+
+def _bits(a1: np.ndarray, b1: np.ndarray, a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """Bits in which two sketches differ (counted on unsigned words)."""
+    return np.bitwise_count((a1 ^ b1).view(U)) + np.bitwise_count((a2 ^ b2).view(U))
+
+
+def _pairs_of(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    """Distinct pairs, the smaller id first."""
+    p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return [pa.array(p[0]), pa.array(p[1])]
+
+
+def compare(differ: int, large: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` over ROWS sorted by path: pairs with close sketches, and blocks of buckets over ``large``.
+
+    A pair is a row (sid_a, sid_b); a block is a row with path, number and the members' ids and sketches. A task holds
+    one batch and one block.
     """
-    some = sets.select("sid", "tokens").join(hot.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
-    least = lambda i: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(i))))
-    keys = F.array(*(F.xxhash64(F.lit(i), least(2 * i), least(2 * i + 1)) for i in range(BANDS)))
-    return some.select("sid", F.explode(keys).alias("digest")).join(hot, "sid")
 
+    def blocks(rows: list[np.ndarray], at: int, number: int) -> pa.RecordBatch:
+        path, sid, s1, s2 = (x[at : at + large] for x in rows)
+        one = pa.array([0, len(sid)], pa.int32())
+        none = pa.array([None], pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(path[:1]), pa.array([number], pa.int32()), *(pa.ListArray.from_arrays(one, pa.array(x)) for x in (sid, s1, s2))], names)
+
+    names = ["sid_a", "sid_b", "path", "block", "sids", "s1", "s2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64) for _ in range(4)]
+        split, number = None, 0  # the bucket that is being written as blocks, and its next block
+
+        def close(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            path, sid, s1, s2 = rows
+            edge = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]]))
+            last = np.repeat(edge[1:] - 1, np.diff(edge))
+            i, d, a, b = np.arange(len(path)), 1, [], []
+            while len(i := i[last[i] >= i + d]):
+                j = i + d
+                near = _bits(s1[i], s1[j], s2[i], s2[j]) <= differ
+                near &= sid[i] != sid[j]
+                a.append(sid[i[near]])
+                b.append(sid[j[near]])
+                d += 1
+            if a and sum(map(len, a)):
+                x = _pairs_of(np.concatenate(a), np.concatenate(b))
+                n = len(x[0])
+                yield pa.RecordBatch.from_arrays([*x, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.list_(pa.int64())) for _ in range(3))], names)
+
+        for rb in batches:
+            rows = [np.concatenate([k, rb.column(i).to_numpy()]) for i, k in enumerate(kept)]
+            path = rows[0]
+            start = int(np.searchsorted(path, path[-1]))  # the last bucket may go on in the next batch
+            edge = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]]))
+            size = np.diff(edge)
+            big = [(int(a), int(n)) for a, n in zip(edge[:-1], size) if n > large or path[a] == split]
+            normal = np.ones(len(path), bool)
+            normal[start:] = False
+            for a, n in big:
+                normal[a : a + n] = False
+                if path[a] != split:
+                    split, number = path[a], 0
+                whole = n if a < start else n // large * large
+                for at in range(a, a + whole, large):
+                    yield blocks([x[: a + whole] for x in rows], at, number)
+                    number += 1
+                if a >= start:
+                    start = a + whole
+            yield from close([x[normal] for x in rows])
+            kept = [x[start:] for x in rows]
+        if len(kept[0]):
+            if kept[0][0] == split:
+                yield blocks(kept, 0, number)
+            else:
+                yield from close(kept)
+
+    return run
+
+
+FOUND = "sid_a bigint, sid_b bigint, path bigint, block int, sids array<bigint>, s1 array<bigint>, s2 array<bigint>"
+
+
+def _block_pairs(differ: int):
+    """(same, sids, s1, s2 of two blocks) to pairs with close sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for k in range(rb.num_rows):
+                a, b = ([rb.column(c)[k].values.to_numpy() for c in cs] for cs in ((1, 2, 3), (4, 5, 6)))
+                out = []
+                for lo in range(0, len(a[0]), 256):
+                    x = [y[lo : lo + 256, None] for y in a]
+                    near = _bits(x[1], b[1], x[2], b[2]) <= differ
+                    near &= x[0] != b[0]
+                    i, j = np.nonzero(near)
+                    out.append((a[0][lo + i], b[0][j]))
+                yield pa.RecordBatch.from_arrays(_pairs_of(*(np.concatenate(x) for x in zip(*out))), ["sid_a", "sid_b"])
+
+    return run
 
-def class_pairs(sets: DataFrame, threshold: float = 0.8, runs: int | None = None, bucket: int = 32) -> DataFrame:
-    """``(sid_a, sid_b, sim)`` of distinct sets with Jaccard >= ``threshold``; ``sets`` must be a written table.
 
-    Without ``runs`` there are as many as RECALL takes, LEAST_RUNS at least.
+def _bucketed(rows: DataFrame, differ: int, large: int, name: str) -> DataFrame:
+    return written(rows.repartition("path").sortWithinPartitions("path").mapInArrow(compare(differ, large), FOUND), name)
+
+
+def class_pairs(sets: DataFrame, threshold: float = 0.8, runs: int | None = None, bucket: int | None = None) -> DataFrame:
+    """``(sid_a, sid_b, larger, sim)`` of distinct sets with Jaccard >= ``threshold``; ``sets`` must be a written table.
+
+    Without ``runs`` there are as many as RECALL takes.
     """
-    n_records, mean_size = sets.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
-    heavy, logs = heavy_tokens(sets, n_records)
-    runs = runs or max(LEAST_RUNS, runs_needed(logs, n_records, mean_size, bucket))
-    rows = sets.select("sid", "n", "s1", "s2", "tokens").mapInArrow(paths(heavy, logs, n_records, threshold, runs, bucket), "path bigint, sid bigint, n int, s1 bigint, s2 bigint")
-    rows = rows.withColumn("in_bucket", F.count("*").over(Window.partitionBy("path"))).filter("in_bucket > 1")
-    rows = written(rows, "paths")
-    small_ones = rows.filter(F.col("in_bucket") <= HOT).drop("in_bucket")
-    if rows.filter(F.col("in_bucket") > HOT).limit(1).count():
-        hot = rows.filter(F.col("in_bucket") > HOT).select("sid", "n", "s1", "s2").distinct()
-        small_ones = small_ones.unionByName(band_keys(hot, sets).select(F.col("digest").alias("path"), "sid", "n", "s1", "s2"))
-    a = small_ones.select("path", *(F.col(c).alias(f"{c}_a") for c in ("sid", "n", "s1", "s2")))
-    b = small_ones.select("path", *(F.col(c).alias(f"{c}_b") for c in ("sid", "n", "s1", "s2")))
-    # agreeing bits have mean (1 + J) / 2; four standard deviations of slack lose about one pair in 30,000
-    agree = (1 + threshold) / 2
-    differ = math.ceil(128 * (1 - agree + 4 * math.sqrt(agree * (1 - agree) / 128)))
-    near = (F.col("sid_a") < F.col("sid_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (threshold - 1e-9))
-    near &= F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b"))) <= differ
-    pairs = written(a.join(b, "path").filter(near).select("sid_a", "sid_b").distinct(), "pairs")
-    return verified(pairs, sets, threshold)
+    bucket = bucket or BUCKET
+    one = bodies(sets)
+    n_records, mean_size = one.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
+    heavy, logs, floor = frequent_tokens(one, n_records, mean_size)
+    runs = runs or runs_needed(logs, floor, n_records, mean_size, bucket)
+    source, differ = one.select("sid", "n", "s1", "s2", "tokens"), tolerance(threshold)
+    found = _bucketed(source.mapInArrow(paths(heavy, logs, floor, n_records, threshold, runs, bucket), ROWS), differ, LARGE, "buckets")
+    parts = [found.filter("sids is null").select("sid_a", "sid_b")]
+    if found.filter("sids is not null").limit(1).count():
+        over = found.filter("sids is not null").select(F.explode("sids").alias("sid")).distinct()
+        again = _bucketed(source.join(small(over, BROADCAST_KEYS), "sid", "left_semi").mapInArrow(rarest(heavy, logs, floor, threshold), ROWS), differ, LARGE, "split")
+        parts.append(again.filter("sids is null").select("sid_a", "sid_b"))
+        blocks = again.filter("sids is not null")
+        x, y = (blocks.select("path", F.col("block").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in ("sids", "s1", "s2"))) for p in ("p", "q"))
+        both = x.join(y, "path").filter("p <= q").repartition("path", "p", "q").select((F.col("p") == F.col("q")).alias("same"), "sids_p", "s1_p", "s2_p", "sids_q", "s1_q", "s2_q")
+        parts.append(both.mapInArrow(_block_pairs(differ), "sid_a bigint, sid_b bigint"))
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    return verified(written(pairs.distinct(), "pairs"), one, threshold)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

@@ -35,9 +35,11 @@ def corpus(n, seed, size=40, vocabulary=400, turn=False):
     return out
 
 
-@pytest.mark.parametrize(("threshold", "hot"), [(0.75, 2000), (0.8, 2000), (0.75, 2)])
-def test_chosen_path_against_all_pairs(spark, threshold, hot, monkeypatch):
-    monkeypatch.setattr(nd, "HOT", hot)
+@pytest.mark.parametrize(("threshold", "bucket", "large"), [(0.75, 16, 4096), (0.8, 16, 4096), (0.75, 16, 3), (0.75, 2048, 4096), (0.75, 2048, 7)])
+def test_chosen_path_against_all_pairs(spark, threshold, bucket, large, monkeypatch):
+    """Buckets that are compared whole, that are split on their rarest words, and that are compared as blocks."""
+    monkeypatch.setattr(nd, "BUCKET", bucket)
+    monkeypatch.setattr(nd, "LARGE", large)
     texts = [*corpus(160, 1), "", None, "one two", "one two", "One, TWO!", "x " * 5, "long " + " ".join(f"z{i}" for i in range(20_000))]
     rows = [(f"k{i:03d}", t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([*rows, rows[0], (None, "one two")], "key string, text string").withColumn("sid", F.lit(1)).withColumn("n", F.lit("x"))
@@ -46,13 +48,47 @@ def test_chosen_path_against_all_pairs(spark, threshold, hot, monkeypatch):
     assert got == want and len(want) > 40
 
 
+def test_a_notice_in_a_third_of_the_records(spark, monkeypatch):
+    """Its words stand together, so its bucket is far larger than its path predicts; nothing is lost and copies stay one class."""
+    monkeypatch.setattr(nd, "BUCKET", 8)
+    monkeypatch.setattr(nd, "LARGE", 32)
+    notice = " ".join(f"n{i}" for i in range(30))
+    texts = [t + " " + notice if i // 4 % 3 == 0 else t for i, t in enumerate(corpus(600, 6, 40, 3000))] + [notice] * 200
+    rows = [(f"k{i:03d}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "key string, text string").repartition(7)
+    members, pairs = nd.near_duplicates(df, "key", F.col("text"), 0.75)
+    got = {(r.key_a, r.key_b) for r in nd.key_pairs(members, pairs).collect()}
+    sets = [(k, words(t)) for k, t in rows]
+    want = {(a, b) for (a, s), (b, t) in itertools.combinations(sets, 2) if jac(s, t) >= 0.75}
+    assert got <= want and len(want - got) <= 1
+
+
+@pytest.mark.parametrize("large", [4, 5, 1000])
+def test_streamed_buckets_give_each_pair_once(large):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    path = np.sort(rng.integers(-3, 3, 60))
+    sid, s1 = np.arange(60), rng.integers(-(2**62), 2**62, 60)
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (path, sid, s1, s1 * 0)], ["path", "sid", "s1", "s2"])
+    for step in (1, 7, 60):
+        out = pa.Table.from_batches(nd.compare(128, large)(rows.slice(i, step) for i in range(0, 60, step))).to_pylist()
+        size = {p: int((path == p).sum()) for p in set(path.tolist())}
+        assert {(r["sid_a"], r["sid_b"]) for r in out if r["sids"] is None} == {(i, j) for i in range(60) for j in range(i + 1, 60) if path[i] == path[j] and size[int(path[i])] <= large}
+        for p, n in size.items():
+            blocks = sorted((r["block"], r["sids"]) for r in out if r["path"] == p)
+            assert [x for _, b in blocks for x in b] == (np.flatnonzero(path == p).tolist() if n > large else []) and [k for k, _ in blocks] == list(range(len(blocks)))
+
+
 def test_runs_grow_with_the_records():
     import numpy as np
 
     rng = np.random.default_rng(8)
     logs = np.log(np.minimum(0.5, 0.6 / np.arange(1, 600)))
-    runs = [nd.runs_needed(logs, n, 40.0, 32) for n in (100, 20_000, 2_000_000, 200_000_000)]
-    assert runs == sorted(runs) and runs[3] > runs[2] > runs[1] > runs[0] and nd.runs_needed(logs, 20_000, 40.0, 32, 0.9) < runs[1]
+    floor = np.log(nd.HEAVY)
+    runs = [nd.runs_needed(logs, floor, n, 40.0, 32, 0.999) for n in (100, 20_000, 2_000_000, 200_000_000)]
+    assert runs == sorted(runs) and runs[3] > runs[2] > runs[1] > runs[0] and nd.runs_needed(logs, floor, 20_000, 40.0, 32, 0.9) < runs[1]
     # one run of the walk itself, on a set inside another of 4/3 the size, whose words are drawn by the same frequencies
     p = np.exp(logs) / np.exp(logs).sum()
     met, n_tries, stop = 0, 3000, np.log(32 / 2_000_000)
@@ -64,10 +100,11 @@ def test_runs_grow_with_the_records():
             if depth == nd.MAX_DEPTH - 1 and nodes or any(a <= stop for a in nodes):
                 met += 1
                 break
-    assert (1 - met / n_tries) ** nd.runs_needed(logs, 2_000_000, float(np.exp(logs).sum()), 32) <= 1.3 * (1 - nd.RECALL)
+    assert (1 - met / n_tries) ** nd.runs_needed(logs, floor, 2_000_000, float(np.exp(logs).sum()), 32) <= 1.3 * (1 - nd.RECALL)
 
 
-def test_production_runs_reach_the_target(spark):
+def test_production_runs_reach_the_target(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BUCKET", 32)
     rng = random.Random(9)
     texts = []
     for i in range(400):
@@ -99,8 +136,8 @@ def test_empty_tables(spark):
 
 def test_heavy_tokens_are_counted_over_all(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("common u"), "id").alias("text"))
-    heavy, logs = nd.heavy_tokens(nd.word_sets(df, "key", F.col("text")), 500)
-    assert len(heavy) == 1 and logs[0] == 0.0
+    heavy, logs, floor = nd.frequent_tokens(nd.word_sets(df, "key", F.col("text")), 500, 2.0)
+    assert len(heavy) == 1 and logs[0] == 0.0 and floor < -6
 
 
 @pytest.mark.parametrize("hot", [256, 2])
