@@ -88,7 +88,7 @@ class Engine:
     def check_prerequisites(self, programme: str | None = None, rules: int = 2) -> DataFrame:
         covered = P.coverage(self.structure, K.version_counts(self.courses), *self.least)
         view = self.view if programme is None else self.view.filter(F.col("programme") == programme)
-        split = P.split_v2()("prerequisites") if rules == 2 else C.split_prerequisites(F.col("prerequisites"))
+        split = C.split_prerequisites_v2(F.col("prerequisites")) if rules == 2 else C.split_prerequisites(F.col("prerequisites"))
         ph, names, first = P.phrases(P.checkable(view, covered), split), P.exact_names(self.courses), P.earlier(self.structure)
         return P.flags_v2(ph, names, first, self.courses) if rules == 2 else P.flags(ph, names, first)
 

@@ -46,17 +46,14 @@ def year_key(c: Column) -> Column:
 
 def year_in_text(text: Column) -> Column:
     """The first academic year in running text, if its two years are consecutive."""
-    pattern = r"(20\d\d)\s*[-–/_]\s*(?:20)?(\d\d)\b"
-    y, z = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    y, z = (F.regexp_extract(text, rules.YEAR_IN_TEXT, i) for i in (1, 2))
     return F.when((y.try_cast("int") + 1) % 100 == z.try_cast("int"), F.concat(y, F.lit("-"), z))
 
 
 def clean_name(name: Column) -> Column:
     """A course name without a trailing code, and out of an elective's brackets."""
-    n = squeezed(F.regexp_replace(name, r"(?is)\s+(?:module\s+|course\s+)?code\s*[:\-–].*$", ""))
-    elective = r"(?i)^(?:professional|open|department(?:al)?|dept\.?|institute|program(?:me)?)?\s*elective(?:\s+course)?\s*[-–]?\s*[0-9IVX]*\s*\((.+)\)\s*(?:\(\s*\))?$"
-    n = F.when(n.rlike(elective), F.regexp_extract(n, elective, 1)).otherwise(n)
-    return squeezed(F.regexp_replace(n, r"(?i)\(\s*(?:[^)]*(?:elective|technical pool)[^)]*)?\)", ""))
+    n = squeezed(F.regexp_replace(name, rules.NAME_CODE, ""))
+    return squeezed(F.regexp_replace(F.regexp_replace(n, rules.ELECTIVE, "$1"), rules.NAME_REMARK, ""))
 
 
 def line_key(line: Column) -> Column:
@@ -105,6 +102,33 @@ def split_prerequisites(text: Column) -> Column:
     return F.when(none, F.array().cast("array<string>")).otherwise(F.array_distinct(parts))
 
 
+def split_prerequisites_v2(text: Column) -> Column:
+    """Phrases of a prerequisite field, once each, in written order: the second rule set.
+
+    Brackets and course codes go; joining words divide only where every side has two words or more; bare part numbers
+    repeat the name before them, which an array fold carries along. NULL, empty and "none" fields give an empty array.
+    """
+    strings = F.array().cast("array<string>")
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), rules.PREREQUISITE_BRACKETS, " "), rules.PREREQUISITE_CODE, " ")
+
+    def sides(piece: Column) -> Column:
+        split = F.transform(F.split(piece, r"\band\b|&|\bas well as\b|\bor\b"), strip_marks)
+        whole = F.forall(split, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= 2)
+        return F.when((F.size(split) > 1) & whole, split).otherwise(F.array(piece))
+
+    parts = F.transform(F.split(t, r"[;,\n/]"), lambda p: F.regexp_replace(strip_marks(squeezed(p)), rules.LEAD_IN, ""))
+    parts = F.transform(F.flatten(F.transform(parts, lambda p: let(p, sides))), lambda q: F.regexp_replace(q, rules.LEAD_IN, ""))
+
+    def fold(out: Column, q: Column) -> Column:
+        base = F.regexp_replace(F.element_at(out, -1), rules.PART_NUMBER_AT_END, "")
+        numbered = F.transform(F.regexp_extract_all(q, F.lit(rules.PART_NUMBER), F.lit(0)), lambda n: F.concat(base, F.lit(" - "), F.upper(n)))
+        named = (F.length(q) > 2) & (F.length(q) <= 90) & ~q.rlike(rules.NONE_PREREQUISITE)
+        return F.concat(out, F.when((F.size(out) > 0) & q.rlike(rules.PART_NUMBERS), numbered).when(named, F.array(q)).otherwise(strings))
+
+    none = (F.trim(t) == "") | F.trim(t).rlike(rules.NONE_PREREQUISITE)
+    return F.when(none, strings).otherwise(F.array_distinct(F.aggregate(parts, strings, fold)))
+
+
 def requirements(text: Column) -> Column:
     """Requirement statements of a job description: bullet lines or sentences of five words or more."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, rules.BULLET, "")))

@@ -46,7 +46,7 @@ def _schedule(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 
 def _phrases(e: DataFrame, covered: DataFrame, v2: bool = False) -> DataFrame:
     view = K.programme_view(e.select("programmes", "common", "sem", "family", "ay", "id", "course_name", "prerequisites"))
-    return P.phrases(P.checkable(view, covered), P.split_v2()("prerequisites") if v2 else C.split_prerequisites(F.col("prerequisites")))
+    return P.phrases(P.checkable(view, covered), C.split_prerequisites_v2(F.col("prerequisites")) if v2 else C.split_prerequisites(F.col("prerequisites")))
 
 
 @query(f"WITH {CTE}, x AS (SELECT id, regexp_replace(coalesce(prerequisites, ''), '\\(([^)]*\\d[^)]*)\\)', ' ', 'g') AS t FROM c), y AS (SELECT id, unnest({_SPLIT1}) AS phrase FROM x) SELECT DISTINCT id, phrase FROM y")
@@ -86,7 +86,7 @@ def pre_removal_cases(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pre_split_v2(spark: SparkSession, d: str) -> DataFrame:
-    return versions(spark, d).select("id", F.posexplode(P.split_v2()("prerequisites")).alias("pos", "phrase"))
+    return versions(spark, d).select("id", F.posexplode(C.split_prerequisites_v2(F.col("prerequisites"))).alias("pos", "phrase"))
 
 
 @query()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from syllaweave.functions import course as C
 from syllaweave.functions.special import digamma, trigamma
-from syllaweave.operators.prerequisites import alias_met, split_v2_text
+from syllaweave.operators.prerequisites import alias_met
 
 
 def values(spark, f, xs):
@@ -42,9 +42,11 @@ def test_outcome_verbs(spark):
 def test_prerequisites(spark):
     xs = ["Physics (BTME01003), Calculus and Linear Algebra", "NIL", "- NA", "Basic knowledge of Computer Networks", None]
     assert values(spark, C.split_prerequisites, xs) == [["Physics", "Calculus", "Linear Algebra"], [], [], ["Computer Networks"], []]
-    assert split_v2_text("Engineering Mathematics - I, II and III") == ["Engineering Mathematics - I", "Engineering Mathematics - II", "Engineering Mathematics - III"]
-    assert split_v2_text("Information Storage and Management") == ["Information Storage and Management"]
-    assert split_v2_text(None) == []
+    xs = ["Engineering Mathematics - I, II and III", "Information Storage and Management", None, "Data Structures and Computer Networks (Semester- II), BTCS01003", "II and III", "Basics of Physics; NIL"]
+    assert values(spark, C.split_prerequisites_v2, xs) == [
+        ["Engineering Mathematics - I", "Engineering Mathematics - II", "Engineering Mathematics - III"], ["Information Storage and Management"], [],
+        ["Data Structures", "Computer Networks"], ["II and III"], ["Physics"],
+    ]
 
 
 def test_alias(spark):
