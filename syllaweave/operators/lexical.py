@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from syllaweave.functions.text import let
-from syllaweave.session import small, written
+from syllaweave.session import bounded_rows, small, written
 
 #: English function words that carry no topic.
 STOP_WORDS = (
@@ -18,8 +22,7 @@ STOP_WORDS = (
 
 def terms(text: Column, ngrams: int = 1) -> Column:
     """Words of two characters or more without function words; then runs of up to ``ngrams`` of them."""
-    stop = "|".join(STOP_WORDS.split())
-    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![a-z0-9])(?!(?:{stop})(?![a-z0-9]))[a-z0-9]{{2,}}"), F.lit(0))
+    w = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda x: ~x.isin(STOP_WORDS.split()))
     if ngrams == 1:
         return w
     return let(w, lambda x: F.concat(x, F.transform(F.filter(F.arrays_zip(x.alias("a"), F.slice(x, 2, 1 << 30).alias("b")), lambda p: p["b"].isNotNull()), lambda p: F.concat_ws(" ", p["a"], p["b"]))))
@@ -30,15 +33,35 @@ def counts(df: DataFrame, keys: list[str], text: Column, ngrams: int = 1) -> Dat
     return df.select(*keys, F.explode(terms(text, ngrams)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(tf: DataFrame, keys: list[str], n_docs: int, fit: DataFrame | None = None, min_df: int = 2, max_df: float = 0.8) -> DataFrame:
+def tfidf(tf: DataFrame, keys: list[str], n_docs: int, fit: DataFrame | None = None, min_df: int = 2, max_df: float = 0.8, only: DataFrame | None = None) -> DataFrame:
     """``(*keys, term, w, df)``: (1 + ln tf) x (ln((1 + n) / (1 + df)) + 1), unit length for each document.
 
     ``fit`` (default: ``tf`` itself) is what document frequencies are counted on; terms in fewer than ``min_df`` or more
-    than the share ``max_df`` of its documents are left out.
+    than the share ``max_df`` of its documents are left out. ``only`` (one column ``term``) are the terms whose weights
+    are wanted: lengths are of whole documents, but other terms aren't carried on.
     """
     df = (fit if fit is not None else tf).groupBy("term").agg(F.count("*").alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     raw = tf.join(df, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1))
-    return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))).select(*keys, "term", "w", "df")
+    if only is None:
+        return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))).select(*keys, "term", "w", "df")
+    length = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
+    return raw.join(small(only), "term", "left_semi").join(length, keys).select(*keys, "term", (F.col("w") / F.col("_l")).alias("w"), "df")
+
+
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, doc_a, doc_b, terms and weights of both) to (group, doc_a, doc_b, sim); terms are sorted hashes."""
+    for rb in batches:
+        ta, wa, tb, wb = rb.columns[3:]
+        n = rb.num_rows
+        na, nb = (np.diff(t.offsets.to_numpy()) for t in (ta, tb))
+        # one sorted list of (pair, term) for each side
+        ka, kb = (np.stack([np.repeat(np.arange(n), k), t.flatten().to_numpy()]) for k, t in ((na, ta), (nb, tb)))
+        order = np.lexsort((np.concatenate([ka[1], kb[1]]), np.concatenate([ka[0], kb[0]])))
+        pair, term = (np.concatenate([x, y])[order] for x, y in zip(ka, kb))
+        w = np.concatenate([wa.flatten().to_numpy(), wb.flatten().to_numpy()])[order]
+        both = np.flatnonzero((pair[1:] == pair[:-1]) & (term[1:] == term[:-1]))
+        sim = np.bincount(pair[both], w[both] * w[both + 1], n)
+        yield pa.RecordBatch.from_arrays([*rb.columns[:3], pa.array(sim)], ["group", "doc_a", "doc_b", "sim"])
 
 
 def cosine_pairs(w: DataFrame, doc: str, group: str, threshold: float) -> DataFrame:
@@ -46,17 +69,38 @@ def cosine_pairs(w: DataFrame, doc: str, group: str, threshold: float) -> DataFr
 
     Terms of a document are ordered from rare to frequent; only its prefix is joined, up to where the rest is shorter
     than the threshold. Two documents that share no prefix term can't reach it, so frequent terms never meet all rows.
+    A document's vector is one row of two arrays, and the dot products of a batch of pairs are one merge of them.
     """
-    w = written(w, "weights")
-    order = Window.partitionBy(group, doc).orderBy(F.desc("df"), F.desc("term"))
-    rest = w.withColumn("upto", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order)))  # the term and all more frequent ones
-    prefix = rest.filter(F.col("upto") >= threshold - 1e-9).select(group, "term", doc)
-    a, b = prefix.withColumnRenamed(doc, "doc_a"), prefix.withColumnRenamed(doc, "doc_b")
-    pairs = a.join(b, [group, "term"]).filter("doc_a < doc_b").select(group, "doc_a", "doc_b").distinct()
-    wa = w.select(group, F.col(doc).alias("doc_a"), "term", F.col("w").alias("w_a"))
-    wb = w.select(group, F.col(doc).alias("doc_b"), "term", F.col("w").alias("w_b"))
-    dots = pairs.join(wa, [group, "doc_a"]).join(wb, [group, "doc_b", "term"]).groupBy(group, "doc_a", "doc_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("sim"))
-    return dots.filter(F.col("sim") >= threshold)
+    vector = w.select(group, doc, F.struct((-F.col("df")).alias("d"), F.xxhash64("term").alias("t"), "w").alias("x")).groupBy(group, doc).agg(F.collect_list("x").alias("x"))  # the terms of one document
+    kinds = dict(w.dtypes)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            x = rb.column(2).flatten()
+            d, t, v = (x.field(c).to_numpy() for c in ("d", "t", "w"))
+            row = np.repeat(np.arange(rb.num_rows), np.diff(rb.column(2).offsets.to_numpy()))
+            order = np.lexsort((t, d, row))[::-1]  # rare terms first, documents backwards
+            r, sq = row[order], v[order] ** 2
+            begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
+            total = np.concatenate([[0.0], np.cumsum(sq)])
+            size = np.diff(np.append(begin, len(r)))
+            rest = np.repeat(total[begin + size], size) - total[:-1]  # the squared length of the term and all more frequent ones
+            keep = np.zeros(len(r), bool)
+            keep[order] = np.sqrt(np.maximum(rest, 0)) >= threshold - 1e-9
+            count = np.bincount(row[keep], minlength=rb.num_rows)
+            order = np.lexsort((t, row))
+            at = rb.column(2).offsets.to_numpy() - rb.column(2).offsets.to_numpy()[0]
+            lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(y)) for o, y in ((np.concatenate([[0], np.cumsum(count)]), t[keep]), (at, t[order]), (at, v[order]))]
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), *lists], ["group", "doc", "prefix", "terms", "ws"])
+
+    docs = written(vector.mapInArrow(prefixes, f"group {kinds[group]}, doc {kinds[doc]}, prefix array<bigint>, terms array<bigint>, ws array<double>"), "vectors")
+    rows = docs.select("group", "doc", F.explode("prefix").alias("term"))
+    a, b = rows.withColumnRenamed("doc", "doc_a"), rows.withColumnRenamed("doc", "doc_b")
+    pairs = a.join(b, ["group", "term"]).filter("doc_a < doc_b").select("group", "doc_a", "doc_b").distinct()
+    side = lambda x: docs.select("group", F.col("doc").alias(f"doc_{x}"), F.col("terms").alias(f"t_{x}"), F.col("ws").alias(f"w_{x}"))
+    both = pairs.join(side("a"), ["group", "doc_a"]).join(side("b"), ["group", "doc_b"]).select("group", "doc_a", "doc_b", "t_a", "w_a", "t_b", "w_b")
+    dots = both.mapInArrow(_dots, f"group {kinds[group]}, doc_a {kinds[doc]}, doc_b {kinds[doc]}, sim double")
+    return dots.filter(F.col("sim") >= threshold).withColumnRenamed("group", group)
 
 
 def scored(queries: DataFrame, weights: DataFrame, query: str, doc: str) -> DataFrame:
@@ -65,16 +109,57 @@ def scored(queries: DataFrame, weights: DataFrame, query: str, doc: str) -> Data
     return weights.select(doc, "term", "w").join(small(q), "term").groupBy(query, doc).agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
 
 
+def best_documents(queries: DataFrame, weights: DataFrame, query: str, doc: str, k: int) -> DataFrame:
+    """``(query, doc, score, rank)``: the ``k`` documents of each query with the largest sum of products over shared terms.
+
+    Scores are rounded to nine digits, ties go to the smaller document. Few queries are sent to the tasks, which keep the
+    best ``k`` of a batch of documents for each query, so that only those are shuffled; many are joined term by term.
+    Query and document are BIGINT; products are positive.
+    """
+    rows = bounded_rows(queries.select(F.col(query).cast("bigint"), "term", F.col("w").cast("double")))
+    if rows is None:
+        return top(scored(queries, weights, query, doc).withColumn("score", F.round("score", 9)), query, doc, k)
+    names = sorted({r[0] for r in rows})
+    terms = {t: i for i, t in enumerate(sorted({r[1] for r in rows}))}
+    column = {q: i for i, q in enumerate(names)}
+    postings = sorted((terms[t], column[q], w) for q, t, w in rows)
+    edge = np.searchsorted([p[0] for p in postings], np.arange(len(terms) + 1))
+    of_query, of_weight, number = np.array([p[1] for p in postings], np.int64), np.array([p[2] for p in postings]), np.array(names, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            x = rb.column(1).flatten()
+            term, w = x.field("term").to_pylist(), x.field("w").to_numpy()
+            at = np.array([terms.get(t, -1) for t in term], np.int64)
+            row = np.repeat(np.arange(rb.num_rows), np.diff(rb.column(1).offsets.to_numpy()))
+            keep = at >= 0
+            at, w, row = at[keep], w[keep], row[keep]
+            count = edge[at + 1] - edge[at]
+            each = np.repeat(np.arange(len(at)), count)
+            p = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + edge[at][each]
+            score = np.round(np.bincount(row[each] * len(names) + of_query[p], w[each] * of_weight[p], rb.num_rows * len(names)).reshape(rb.num_rows, len(names)), 9)
+            docs = rb.column(0).to_numpy()
+            order = np.argsort(docs, kind="stable")
+            best = order[np.argsort(-score[order], axis=0, kind="stable")[:k]]
+            got = np.take_along_axis(score, best, 0)
+            i, j = np.nonzero(got > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(number[j]), pa.array(docs[best[i, j]]), pa.array(got[i, j])], [query, doc, "score"])
+
+    per = weights.groupBy(F.col(doc).cast("bigint").alias(doc)).agg(F.collect_list(F.struct("term", F.col("w").cast("double").alias("w"))).alias("x"))  # the query terms of one document
+    return top(per.mapInArrow(run, f"{query} bigint, {doc} bigint, score double"), query, doc, k)
+
+
 def top(scores: DataFrame, query: str, doc: str, k: int, score: str = "score") -> DataFrame:
     """The ``k`` best documents of each query with their ``rank``; ties go to the smaller document."""
     w = Window.partitionBy(query).orderBy(F.desc(score), doc)
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(tf: DataFrame, doc: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25(tf: DataFrame, doc: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, only: DataFrame | None = None) -> DataFrame:
     """``(doc, term, w)``: the weight that one query occurrence of the term earns the document.
 
-    idf is ln((n - df + 0.5) / (df + 0.5)); where that is negative, ``epsilon`` times the mean idf counts.
+    idf is ln((n - df + 0.5) / (df + 0.5)); where that is negative, ``epsilon`` times the mean idf counts. ``only`` as in
+    :func:`tfidf`.
     """
     length = tf.groupBy(doc).agg(F.sum("tf").alias("len"))
     size = length.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
@@ -82,6 +167,8 @@ def bm25(tf: DataFrame, doc: str, k1: float = 1.5, b: float = 0.75, epsilon: flo
     df = df.withColumn("idf0", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = df.agg(F.avg("idf0").alias("avg_idf"))
     df = df.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf0") < 0, epsilon * F.col("avg_idf")).otherwise(F.col("idf0")))
+    if only is not None:
+        df, tf = df.join(small(only), "term", "left_semi"), tf.join(small(only), "term", "left_semi")
     x = tf.join(df.select("term", "idf", "mean"), "term").join(length, doc)
     return x.select(doc, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))).alias("w"))
 

@@ -8,6 +8,7 @@ from syllaweave.functions import course as C
 from syllaweave.functions.text import jaccard, words_of
 from syllaweave.operators import lexical as L
 from syllaweave.plans.catalog_queries import CTE, enriched, versions
+from syllaweave.session import written
 from syllaweave.sources.tables import table
 
 QUERIES: dict = {}
@@ -88,33 +89,35 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "heldout_items").select("item_no", "text").distinct()
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    q = L.counts(_items(spark, d), ["item_no"], F.col("text")).withColumnRenamed("tf", "w")
-    s = L.scored(q, L.bm25(L.counts(table(spark, d, "documents"), ["doc_id"], F.col("text")), "doc_id"), "item_no", "doc_id")
-    return L.top(s.withColumn("score", F.round("score", 9)), "item_no", "doc_id", 10)
+def _counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Term counts of the documents (a stage table, read by every ranking) and of the test passages, and the passages' terms."""
+    tf = written(L.counts(table(spark, d, "documents"), ["doc_id"], F.col("text")), "terms")
+    q = L.counts(_items(spark, d), ["item_no"], F.col("text"))
+    return tf, q, q.select("term").distinct()
 
 
-def _tfidf(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    tf, n = L.counts(docs, ["doc_id"], F.col("text")), docs.count()
-    q = L.tfidf(L.counts(_items(spark, d), ["item_no"], F.col("text")), ["item_no"], n, fit=tf)
-    s = L.scored(q, L.tfidf(tf, ["doc_id"], n), "item_no", "doc_id")
-    return L.top(s.withColumn("score", F.round("score", 9)), "item_no", "doc_id", 10)
+def _bm25(tf: DataFrame, q: DataFrame, only: DataFrame) -> DataFrame:
+    return L.best_documents(q.withColumnRenamed("tf", "w"), L.bm25(tf, "doc_id", only=only), "item_no", "doc_id", 10)
+
+
+def _tfidf(tf: DataFrame, q: DataFrame, only: DataFrame, n: int) -> DataFrame:
+    return L.best_documents(L.tfidf(q, ["item_no"], n, fit=tf), L.tfidf(tf, ["doc_id"], n, only=only), "item_no", "doc_id", 10)
 
 
 @query(f"WITH {_BM25} SELECT item_no, doc_id, rank, round(round(score, 9), 6) AS score FROM br")
 def ret_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d).select("item_no", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+    return _bm25(*_counts(spark, d)).select("item_no", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_TFIDF_Q} SELECT item_no, doc_id, rank, round(round(score, 9), 6) AS score FROM tr")
 def ov_find_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    return _tfidf(spark, d).select("item_no", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+    return _tfidf(*_counts(spark, d), table(spark, d, "documents").count()).select("item_no", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_BM25}, {_TFIDF_Q}, u AS (SELECT item_no, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM br UNION ALL SELECT item_no, doc_id, 1.0::DOUBLE / (60 + rank) FROM tr) SELECT item_no, doc_id, round(sum(s), 9) AS score FROM u GROUP BY ALL")
 def ret_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return L.fuse([_bm25(spark, d), _tfidf(spark, d)], "item_no", "doc_id").withColumn("score", F.round("score", 9))
+    c = _counts(spark, d)
+    return L.fuse([_bm25(*c), _tfidf(*c, table(spark, d, "documents").count())], "item_no", "doc_id").withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {_BM25}, {_TFIDF_Q}, u AS (SELECT item_no, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM br UNION ALL SELECT item_no, doc_id, 1.0::DOUBLE / (60 + rank) FROM tr), f AS (SELECT item_no, doc_id, round(sum(s), 9) AS score FROM u GROUP BY ALL) SELECT item_no, doc_id, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 5")

@@ -120,7 +120,7 @@ def test_measures(spark):
 def test_maxsim_identity_and_blocks(spark):
     rows = [(0, o, o * 10 + i, [1.0 if j == i else 0.0 for j in range(3)]) for o in (1, 2) for i in range(3)]
     df = spark.createDataFrame(rows, "g bigint, o bigint, u bigint, v array<double>")
-    m = V.maxsim(V.unit_pairs(df, "g", "o", "u", "v"), 0.5).first()
+    m = V.maxsim(V.unit_best(df, "g", "o", "u", "v"), 0.5).first()
     assert (m.cov_a, m.cov_b, m.overlap, m.soft) == (1.0, 1.0, 1.0, 1.0)
     rng = np.random.default_rng(0)
     big = [(0, int(i % 7), int(i), rng.normal(size=4).tolist()) for i in range(300)]
