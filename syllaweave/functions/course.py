@@ -190,3 +190,64 @@ def chunks() -> Column:
     none = F.array().cast("array<struct<label:string,text:string>>")
     objectives = F.when(F.coalesce("objectives", F.lit("")) != "", F.array(F.struct(F.lit("objectives").alias("label"), F.col("objectives").alias("text")))).otherwise(none)
     return F.when(F.size("units") > 0, units).when(F.size("outcomes") > 0, outcomes).otherwise(objectives)
+
+
+def department(code: Column) -> Column:
+    """The letters a course code starts with (after digits), else OTHER."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.upper(code), "^[0-9]*([A-Z]{2,4})", 1), F.lit("")), F.lit("OTHER"))
+
+
+def name_tokens(name: Column) -> Column:
+    """Distinct words of a name with more than two letters, without function words."""
+    from syllaweave.operators.lexical import STOP_WORDS
+
+    words = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS.split())))
+
+
+def same_phrase(a: Column, b: Column) -> Column:
+    """The key of one phrase holds the key of the other; neither is empty."""
+    x, y = reduced(a), reduced(b)
+    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
+
+
+def computing(program: Column) -> Column:
+    """The programme is a computing one; what follows "except" or "excluding" doesn't count."""
+    return F.regexp_replace(F.coalesce(program, F.lit("")), r"(?i)\b(?:except|excluding)\b.*$", "").rlike(rules.COMPUTING)
+
+
+def topics_in(text: Column) -> Column:
+    """``MAP<topic, mentions>`` of the lexicon topics that a text names."""
+    found = F.array(*(F.struct(F.lit(t).alias("key"), F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?i)\b(?:{p})"), F.lit(0))).alias("value")) for t, p in rules.TOPIC_LEXICON.items()))
+    return F.map_from_entries(F.filter(found, lambda x: x["value"] > 0))
+
+
+def word_groups(text: Column, size: int = 3, most: int = 40) -> Column:
+    """Windows of ``size`` sentences, of more than four words each, at most ``most``."""
+    s = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+
+    def windows(x: Column) -> Column:
+        starts = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        groups = F.transform(starts, lambda i: F.array_join(F.slice(x, i + 1, size), " "))
+        return F.slice(F.filter(groups, lambda g: F.size(F.split(g, r"\s+")) > 4), 1, most)
+
+    return let(s, windows)
+
+
+def clean_page_text(text: Column) -> Column:
+    """Text of a web page without addresses, file marks and credits, whitespace squeezed. Compatibility forms stay as they are."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"https?://\S+|\S+@\S+", " ")
+    t = F.regexp_replace(t, r"(?i)\(\s*(?:PDF|MP4|ZIP|TXT|XLS)[^)]*\)", " ")
+    return squeezed(F.regexp_replace(t, r"(?i)\b(?:courtesy of|image by|used with permission)[^.]*\.?", " "))
+
+
+def keep_section(heading: Column) -> Column:
+    """Sections with course content: a wanted heading always, an unwanted one never, any other one too."""
+    h = F.lower(F.coalesce(heading, F.lit("")))
+    return h.rlike(rules.KEEP_SECTION) | ~h.rlike(rules.DROP_SECTION)
+
+
+def course_references(text: Column, own: Column) -> Column:
+    """Sorted distinct course numbers that a text names, without its own."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rules.COURSE_REFERENCE), F.lit(0))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: ~x.eqNullSafe(own))))

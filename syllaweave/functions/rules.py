@@ -132,6 +132,66 @@ OUTCOME_VERBS = (
 )
 BULLET_GLYPHS = "[●•▪◦]"
 MIN_YEAR = 2020
+COMPUTING = r"(?i)comput|information technology|artificial|data scien|cyber|\bIT\b|\bAI\b|\bDS\b|CSBS|CSE|\bCE\b"
+# web pages: sections with content and without, course numbers, cells that name no topic
+KEEP_SECTION = r"prereq|descr|overview|content|topic|outline|objective|goal|outcome|purpose|about|learn|scope|introduction"
+DROP_SECTION = (
+    r"meeting|grad|exam|quiz|problem set|homework|assignment|polic|collaborat|honest|integrity|attend|late|"
+    r"text|book|reading|software|staff|lecturer|instructor|team|evaluat|requirement|recitation|format|"
+    r"participat|laptop|matlab|makeup|extension|habit|reference|project|calendar|video|tutorial|office|contact"
+)
+OUTCOME_SECTION = r"objective|goal|outcome|purpose|learn"
+COURSE_REFERENCE = r"\b(?:\d{1,2}[A-Z]?|[A-Z]{2,4})\.[S\d]\d{1,3}[A-Z]{0,2}\b"
+NOISE_CELL = r"(?i)^(no (class|lecture)|holiday|.*\b(quiz|exam|midterm|review session|due|out)\b.*|student holiday.*)$"
+# topic lexicon: a topic and the words that name it
+TOPIC_LEXICON = {
+    "Probability": r"probabilit(y|ies)|random variables?",
+    "Statistical Inference": r"statistical inference|estimat(ion|ors?)|maximum likelihood|confidence intervals?",
+    "Hypothesis Testing": r"hypothesis test\w*|p-values?|significance tests?",
+    "Bayesian Methods": r"bayes(ian)?",
+    "Regression": r"regression",
+    "Classification": r"classif(ication|iers?)",
+    "Clustering": r"cluster(ing|s)?|k-means",
+    "Dimensionality Reduction": r"dimensionality reduction|principal component|\bpca\b|singular value|\bsvd\b",
+    "Neural Networks": r"neural net(work)?s?|perceptrons?|backprop\w*",
+    "Deep Learning": r"deep learning|convolutional|\bcnns?\b|recurrent|\brnns?\b|\blstms?\b",
+    "Transformers & LLMs": r"transformers?|attention mechanisms?|large language models?|\bllms?\b|\bgpt\b|\bbert\b",
+    "Generative Models": r"generative (models?|adversarial)|\bgans?\b|variational autoencoders?|diffusion models?",
+    "Natural Language Processing": r"natural language|\bnlp\b|parsing|language model(s|ing)?|machine translation",
+    "Computer Vision": r"computer vision|machine vision|image (processing|recognition)|object recognition",
+    "Reinforcement Learning": r"reinforcement learning|markov decision|\bmdps?\b|q-learning|policy gradient",
+    "Kernel Methods & SVM": r"kernels?|support vector",
+    "Ensemble & Tree Methods": r"boosting|bagging|random forests?|decision trees?|ensembles?",
+    "Learning Theory": r"learning theory|generalization|vc[- ]dimension|\bpac\b|rademacher",
+    "Graphical Models": r"graphical models?|bayesian networks?|markov random fields?|belief propagation|sum-product",
+    "Hidden Markov Models": r"hidden markov|\bhmms?\b",
+    "Markov Chains & Stochastic Processes": r"markov chains?|stochastic process(es)?|random walks?|poisson process\w*",
+    "Monte Carlo & Simulation": r"monte carlo|simulations?|\bmcmc\b",
+    "Linear Algebra": r"linear algebra|matri(x|ces)|eigen\w*|vector spaces?",
+    "Calculus & Differential Equations": r"calculus|differential equations?",
+    "Optimization": r"optimi[sz]ation|gradient descent|convex|linear programming|lagrang\w*",
+    "Numerical Methods": r"numerical (methods?|analysis|linear algebra)|finite differences?|iterative methods?",
+    "Algorithms & Complexity": r"algorithms?|np-complete\w*|asymptotic|complexity",
+    "Data Structures": r"data structures?|hash(ing| tables?)|heaps?|binary search trees?",
+    "Graph Algorithms": r"graph algorithms?|shortest paths?|minimum spanning|network flows?|max(imum)?[- ]flow",
+    "Dynamic Programming": r"dynamic programming",
+    "Discrete Mathematics": r"combinatori\w*|discrete mathematics|graph theory",
+    "Information Theory": r"information theory|entropy|mutual information",
+    "Signal Processing": r"signal processing|fourier|z-transforms?|sampling theorem|digital filters?",
+    "Time Series": r"time series|autoregressive|\barima?\b|forecasting",
+    "Econometrics & Causal Inference": r"econometric\w*|instrumental variables?|panel data|causal|treatment effects?",
+    "Data Analysis & Analytics": r"data mining|analytics|data analysis|data science",
+    "Search & Planning": r"search algorithms?|heuristic search|planning|constraint satisfaction",
+    "Logic & Knowledge Representation": r"propositional logic|first-order logic|knowledge representation",
+    "Robotics & Control": r"robot\w*|control systems?|feedback control|motion planning",
+    "Game Theory": r"game theory|nash equilibri\w*",
+    "Distributed & Parallel Computing": r"distributed (algorithms?|systems?|computing)|parallel (computing|algorithms?)",
+    "Databases": r"databases?|\bsql\b",
+    "Finance": r"financ\w*|portfolios?|asset pricing|option pricing",
+    "Healthcare": r"health ?care|clinical|medical",
+    "Ethics & Fairness": r"ethic\w*|fairness",
+    "Programming Tools (Python/R/Julia/MATLAB)": r"python|julia|matlab|\br\b (programming|language|software)",
+}
 FUSION_K, BM25_K1, BM25_B, BM25_EPSILON = 60, 1.5, 0.75, 0.25
 MIN_VERSIONS, MIN_FAMILIES_PER_SEM = 50, 3
 SPLIT_SHARES = {"train": 0.6, "val": 0.2, "test": 0.2}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from syllaweave.operators.parse import COURSE_SCHEMA
+from syllaweave.session import written
 
 COURSES = COURSE_SCHEMA + ", id string, source_files array<string>, n_source_files int"
 PAGES = "path string, pages array<string>"
@@ -48,11 +49,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name`` counting its rows from 1 in the order of ``order`` (equal keys in any order, NULL first).
+
+    Rows are laid out in sorted ranges; each range is numbered on its own and starts where the ranges before it end, so
+    only one count for each range meets in one place.
+    """
+    parts = written(df.sort(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy("_range").agg(F.count("*").alias("_c")).select("_range", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return parts.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def write_parts(df: DataFrame, path: str, key: str, parts: int) -> None:
-    """Items as JSON lines in ``parts`` folders of equal size (the last may be smaller), in the order of their keys."""
-    n = df.count()
-    size = max(1, -(-n // parts))
-    ranked = df.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1) / size)) if n <= 1_000_000 else df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
+    """Items as JSON lines in ``parts`` folders of equal size (the last may be smaller), in the order of their keys, at any number of items."""
+    size = max(1, -(-df.count() // parts))
+    ranked = numbered(df, [key], "_n").withColumn("part", F.floor((F.col("_n") - 1) / size)).drop("_n")
     ranked.write.mode("overwrite").partitionBy("part").json(path)
 
 
