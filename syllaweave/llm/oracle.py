@@ -41,4 +41,12 @@ SELECT DISTINCT doc_id, item_no FROM dg JOIN ig USING (g)""",
     "p9_found": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 400), g AS (SELECT doc_id, md5(substr(text, k, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS k FROM d)),
 s AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1), x AS (SELECT DISTINCT doc_id, h FROM g SEMI JOIN s USING (h))
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p9_shared": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents), c AS (SELECT *, count(*) OVER (PARTITION BY text) AS copies FROM d),
+g AS (SELECT doc_id, k, md5(substr(text, k, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS k FROM d WHERE length(text) >= 400)),
+t AS (SELECT doc_id, md5(text) AS t FROM d), s AS (SELECT h FROM g JOIN t USING (doc_id) GROUP BY h HAVING count(DISTINCT t) > 1), x AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM g SEMI JOIN s USING (h)),
+v AS (SELECT doc_id, sum(least(400, coalesce(k - p, 400)))::BIGINT AS n FROM x GROUP BY 1), r AS (SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, CASE WHEN length(text) >= 400 THEN copies ELSE 1 END AS n_copies FROM c)
+SELECT doc_id, n_chars, CASE WHEN n_copies > 1 THEN n_chars ELSE coalesce(n, 0) END AS shared_chars, round(CASE WHEN n_copies > 1 THEN n_chars ELSE coalesce(n, 0) END / greatest(n_chars, 1), 6) AS share, n_copies FROM r LEFT JOIN v USING (doc_id)""",
+    "p9_groups": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 400), g AS (SELECT doc_id, md5(substr(text, k, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS k FROM d)),
+s AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1), x AS (SELECT DISTINCT doc_id, h FROM g SEMI JOIN s USING (h)), l AS (SELECT a.doc_id, count(DISTINCT b.doc_id) AS n FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_doc, count(*) OVER (PARTITION BY text) AS n_copies, coalesce(n, 0) AS n_links FROM d LEFT JOIN l USING (doc_id)""",
 }

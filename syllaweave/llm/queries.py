@@ -155,9 +155,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     """How much of each document stands elsewhere too, in stretches of 400 characters or more."""
-    docs = table(spark, d, "documents")
-    members, found = long_repeats.shared_stretches(docs, "doc_id", "text")
-    return long_repeats.shared_share(docs, members, written(found, "found"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+    return long_repeats.shared_share(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_assignment, p2_shares, p3_found, p3_mapped, p4_found, p4_groups, p5_found, p5_overlaps, p6_found, p6_labels, p6_raters, p6_agreement, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_shared)}
+def p9_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each document of 400 characters or more: the least document with the same text, and the number of links."""
+    members, found = long_repeats.shared_stretches(table(spark, d, "documents"), "doc_id", "text")
+    return long_repeats.linked(members, found).withColumnsRenamed({"key": "doc_id", "class_key": "class_doc"})
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_assignment, p2_shares, p3_found, p3_mapped, p4_found, p4_groups, p5_found, p5_overlaps, p6_found, p6_labels, p6_raters, p6_agreement, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_shared, p9_groups)}

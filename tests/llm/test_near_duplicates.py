@@ -200,13 +200,57 @@ def test_long_repeats_against_all_pairs(spark, hot, monkeypatch):
     got = {(r.key_a, r.key_b) for r in lr.document_pairs(members, found).collect()}
     want = {(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if a and b and shares(a, b, 400)}
     assert got == want and (0, 1) in want and (3, 4) not in want
-    share = {r.key: (r.shared_chars, r.n_partners) for r in lr.shared_share(df, members, found, "doc", "text").collect()}
-    assert share[1] == (430, 4) and share[3][0] == 0 and share[11] == (0, 0) and len(share) == len(rows)
+    links = {r.key: (r.class_key, r.n_copies, r.n_links) for r in lr.linked(members, found).collect()}
+    assert all(n == sum(k in p for p in want) for k, (_, _, n) in links.items()) and links[24][:2] == (0, 3)
+    share = {r.key: r.shared_chars for r in lr.shared_share(df, "doc", "text").collect()}
+    assert len(share) == len(rows)
+    for k, t in rows:
+        covered = set()
+        for j, u in rows:
+            if k != j and t and u:
+                if t == u and len(t) >= 400:
+                    covered.update(range(len(t)))
+                else:
+                    parts = {u[i : i + 400] for i in range(len(u) - 399)}
+                    for i in range(len(t) - 399):
+                        if t[i : i + 400] in parts:
+                            covered.update(range(i, i + 400))
+        assert share[k] == len(covered), k
+
+
+@pytest.mark.parametrize("size", [1, 6, 12, 20, 24, 25, 30, 40, 47, 48, 60, 200])
+def test_every_stretch_shares_a_name(size):
+    """Three hundred stretches of exactly 400 characters in tokens of one length, between other text."""
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    token = lambda: "".join(rng.choice("abcdefgh0123") for _ in range(size)) + " "
+    run = lambda n: "".join(token() for _ in range(n // (size + 1) + 2))
+    missed = 0
+    for _ in range(300):
+        cut, span = rng.randrange(size + 1), run(500)
+        span = span[cut : cut + 400]
+        texts = [run(120)[rng.randrange(size + 1) :] + "x" + span + "x" + run(120), run(150) + "y" + span + "y" + run(90)]
+        out = pa.Table.from_batches(lr._names(200)([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], ["cls", "text"])])).to_pylist()
+        names = [{(r["name"], r["pos"]) for r in out if r["cls"] == c} for c in (1, 2)]
+        missed += not {n for n, _ in names[0]} & {n for n, _ in names[1]}
+    assert missed == 0
+
+
+def test_runs_of_unequal_length_meet(spark):
+    rng = random.Random(5)
+    word = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    common, other = word(40)[:150], word(40)[:250]
+    docs = ["-" * 500 + common + " q " + word(40), word(30) + "-" * 300 + common + " r " + word(40), word(20) + other + "-" * 400, other + "-" * 260 + " " + word(50), "=-" * 200 + common[:30] + word(40), word(9) + "=-" * 300 + common[:30] + " z"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc int, text string")
+    got = {(r.key_a, r.key_b) for r in lr.document_pairs(*lr.shared_stretches(df, "doc", "text")).collect()}
+    want = {(i, j) for i, j in itertools.combinations(range(len(docs)), 2) if shares(docs[i], docs[j], 400)}
+    assert got == want and (0, 1) in want and (2, 3) in want
 
 
 def test_equal_spans_get_equal_names():
     rng = random.Random(4)
-    t = [" ".join("".join(rng.choice("abc") for _ in range(4)) for _ in range(200)) for _ in range(2)]
+    t = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(200)) for _ in range(2)]
     b, at = batch.layout(t + [t[0]])
     total = batch.running(batch.values(t + [t[0]], b))
     sym, _, doc, _ = lr.recompress(b, at, total)
