@@ -4,23 +4,32 @@ The tree holds the distinct base names (reduced, without a trailing part number)
 values of a batch at once: the triangle inequality drops the subtrees that can't hold an entry within the radius, and
 bit-parallel distances are computed for the rest, so every entry within the radius is returned. A value is looked up in
 a few forms: without decoration (``Basics of ...``, ``... course``), with ``of`` resolved, and with its words turned
-around (``Processing, Wireless``). Where no form is within the radius, words are compared one by one (an abbreviation is
-a subsequence of the word with the same first letter), and a single short word as initials of one entry. Larger lists are split into
-shards of SHARD entries, and the shards' winners are merged.
+around (``Processing, Wireless``). Where no form is within a distance of one, words are compared one by one (an
+abbreviation is a subsequence of the word with the same first letter; other words within a small distance come from a
+second tree over the list's words), and a single short word as initials of one entry.
+
+Every distinct value is matched once. A list of up to SHARD entries goes to the workers whole; a longer one is cut into
+shards, and the candidates of every stage, not just a winner, come back from each, so that one rule decides over all of
+them and the number of shards changes nothing.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from syllaweave.session import BROADCAST_KEYS, bounded_rows, small, written
 
 U = np.uint64
-SHARD = 20_000
+#: Entries in a shard of the list, and distinct values that meet a shard in one task.
+SHARD, PART = 20_000, 50_000
 #: Words that decorate a name.
 BEFORE = [
     "introduction to", "intro to", "basics of", "basic knowledge of", "working knowledge of", "knowledge of", "prior exposure to", "exposure to",
@@ -177,6 +186,10 @@ class Catalogue:
         self.bases = sorted(self.of_base)
         self.tree = BKTree(self.bases)
         self.vocabulary = sorted({x for w in self.words.values() for x in w})
+        self.word_tree = BKTree(self.vocabulary)
+        self.by_letter: dict[str, list[str]] = {}
+        for v in self.vocabulary:
+            self.by_letter.setdefault(v[0], []).append(v)
         self.by_count: dict[int, list[str]] = {}
         for b in self.bases:
             self.by_count.setdefault(len(self.words[b]), []).append(b)
@@ -205,36 +218,45 @@ class Catalogue:
         found = [(d, rank, no) for d, base, p in candidates for pp, rank, no in self.of_base[base] if pp == p]
         return min(found, default=None)
 
-    def word_costs(self, word: str) -> dict[str, int]:
-        """Words of the list that ``word`` may stand for, with a cost."""
-        if word not in self.known:
+    def learn(self, words: set[str]) -> None:
+        """Words of the list that each of ``words`` may stand for, with a cost."""
+        if len(self.known) > 500_000:
+            self.known.clear()
+        new = sorted(words - self.known.keys())
+        near: dict[str, list[tuple[str, int]]] = {w: [] for w in new}
+        long = [w for w in new if len(w) >= 4]
+        for q, e, d in zip(*(x.tolist() for x in self.word_tree.search(long, np.full(len(long), 2)))):
+            v = self.vocabulary[e]
+            if len(v) >= 4 and d <= (1 if len(v) < 6 else 2):
+                near[long[q]].append((v, d))
+        for w in new:
             out = {}
-            for v in self.vocabulary:
-                if word == v:
-                    out[v] = 0
-                elif abbreviates(word, v):
-                    out[v] = 1 if v.startswith(word) else 2
-                elif abs(len(word) - len(v)) <= 2 and min(len(word), len(v)) >= 4 and (d := slow_distance(word, v)) <= (1 if len(v) < 6 else 2):
-                    out[v] = d
-                elif len(word) >= 4 and any(abbreviates(word[:k] + word[k + 1 :], v) for k in range(1, len(word))):
+            shorter = {w[:k] + w[k + 1 :] for k in range(1, len(w))} if len(w) >= 4 else set()
+            for v in self.by_letter.get(w[0], ()):
+                if abbreviates(w, v):
+                    out[v] = 1 if v.startswith(w) else 2
+                elif any(abbreviates(x, v) for x in shorter):
                     out[v] = 4
-            self.known[word] = out
-        return self.known[word]
+            for v, d in near[w]:
+                # an abbreviation costs what it costs; a slip of the pen costs its distance
+                if out.get(v, 4) == 4:
+                    out[v] = d
+            self.known[w] = out if w not in self.by_letter.get(w[0], ()) else {**out, w: 0}
 
-    def by_words(self, forms: list[tuple[list[str], int]]) -> tuple[int, int, int] | None:
+    def by_words(self, forms: list[tuple[list[str], int]]) -> list[tuple[int, int, int]]:
+        """(cost, rank, number) of the cheapest entries, two different ones at most."""
         found = []
         for w, part in forms:
             w = [x for x in w if x not in ("and", "of")]
-            if not w or not all(costs := [self.word_costs(x) for x in w]):
+            if not w or not all(costs := [self.known[x] for x in w]):
                 continue
             for b in self.by_count.get(len(w), ()):
                 if all(v in c for v, c in zip(self.words[b], costs)):
                     found += [(sum(c[v] for v, c in zip(self.words[b], costs)), rank, no) for p, rank, no in self.of_base[b] if p == part]
-        found.sort()
-        return found[0] if found and (len({x[2] for x in found if x[0] == found[0][0]}) == 1) else None
+        return _cheapest(found)
 
-    def match(self, values: list[str]) -> list[tuple[int, int, int, int]]:
-        """(number, distance, rank, stage) of each value; number 0 and stage 9 where the list has none."""
+    def candidates(self, values: list[str]) -> list[list]:
+        """Of each value: the best entry by distance, the cheapest by words, and the entries its initials stand for."""
         split = []
         queries: list[str] = []
         owner: list[tuple[int, int]] = []
@@ -255,60 +277,97 @@ class Catalogue:
         for q, e, d in zip(*(x.tolist() for x in self.tree.search(queries, r))):
             i, p = owner[q]
             cand.setdefault(i, []).append((d, self.bases[e], p))
-        out = []
-        for i, v in enumerate(values):
-            got, stage = self.best(cand.get(i, []), 0), 1
-            if got is None or got[0] > 1:
-                by = self.by_words(split[i])
-                if by is not None and (got is None or by[0] < got[0]):
-                    got, stage = by, 2
-            if got is None:
+        first = [self.best(cand.get(i, []), 0) for i in range(len(values))]
+        open_ = [i for i, got in enumerate(first) if got is None or got[0] > 1]
+        self.learn({x for i in open_ for f, _ in split[i] for x in f if x not in ("and", "of")})
+        out = [[got and list(got), [], []] for got in first]
+        for i in open_:
+            out[i][1] = self.by_words(split[i])
+            if first[i] is None:
                 short = [(f[0], p) for f, p in split[i] if len(f) == 1 and 2 <= len(f[0]) <= 6]
-                for rank, k in ((rank, k) for rank in (0, 1) for k in short):
-                    if hit := self.initials[rank].get(k):
-                        got, stage = ((0, rank, next(iter(hit))), 3) if len(hit) == 1 else (None, 9)
-                        break
-            out.append((got[2], got[0], got[1], stage) if got else (0, 0, 0, 9))
+                out[i][2] = [[rank, n, no] for rank in (0, 1) for n, k in enumerate(short) for no in sorted(self.initials[rank].get(k, ()))[:2]]
         return out
 
+    def match(self, values: list[str]) -> list[tuple[int, int, int, int]]:
+        """(number, distance, rank, stage) of each value; number 0 and stage 9 where the list has none."""
+        return [decide([c]) for c in self.candidates(values)]
+
+
+def _cheapest(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (cost, rank, number) the least, and the least of another number at the same cost."""
+    found = sorted(map(tuple, found))
+    return found[:1] + [x for x in found if x[0] == found[0][0] and x[2] != found[0][2]][:1] if found else []
+
 
-def _matcher(entries: list[tuple[int, str, int]], columns: int):
+def decide(shards: list[list]) -> tuple[int, int, int, int]:
+    """One rule over the candidates of all shards.
+
+    The entry of the least distance; if that is more than one, an entry that is cheaper word by word, if no other is as
+    cheap; else the entry of the initials, canonical names and fuller forms first, if no other has them.
+    """
+    got, stage = min((tuple(c[0]) for c in shards if c[0]), default=None), 1
+    if got is None or got[0] > 1:
+        by = _cheapest([x for c in shards for x in c[1]])
+        if len(by) == 1 and (got is None or by[0][0] < got[0]):
+            got, stage = by[0], 2
+    if got is None:
+        named = sorted(tuple(x) for c in shards for x in c[2])
+        same = {x[2] for x in named if x[:2] == named[0][:2]} if named else set()
+        if len(same) == 1:
+            got, stage = (0, named[0][0], named[0][2]), 3
+    return (got[2], got[0], got[1], stage) if got else (0, 0, 0, 9)
+
+
+RESULT = "entry bigint, distance int, rank int, stage int"
+
+
+def _results(values: pa.Array, got: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([values, *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32())))], ["_value", "entry", "distance", "rank", "stage"])
+
+
+def _matcher(entries: list[tuple[int, str, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         catalogue = Catalogue(entries)
-        known: dict[str, tuple[int, int, int, int]] = {}
         for rb in batches:
-            values = [v or "" for v in rb.column(columns - 1).to_pylist()]
-            new = sorted(set(values) - known.keys())
-            if len(known) > 500_000:
-                known = {v: known[v] for v in set(values) & known.keys()}
-            known.update(zip(new, catalogue.match(new)))
-            got = [known[v] for v in values]
-            cols = [rb.column(i) for i in range(columns)] + [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, [*rb.schema.names[:columns], "entry", "distance", "rank", "stage"])
+            yield _results(rb.column(0), catalogue.match([v or "" for v in rb.column(0).to_pylist()]))
 
     return run
 
 
+def _shard_candidates(values: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of a part of the values in one shard of the list."""
+    if not len(values):
+        return pd.DataFrame({"_value": [], "cand": []})
+    catalogue = Catalogue(sorted(zip(entries["entry"].astype(int), entries["name"], entries["rank"].astype(int))))
+    return pd.DataFrame({"_value": values["_value"], "cand": [json.dumps(c) for c in catalogue.candidates([v or "" for v in values["_value"]])]})
+
+
+def _decider(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        yield _results(rb.column(0), [decide([json.loads(c) for c in cs]) for cs in rb.column(1).to_pylist()])
+
+
 def map_values(df: DataFrame, value: str, entries: DataFrame, shard: int = SHARD) -> DataFrame:
     """``df`` with the entry that each value means: ``entry`` (0: none), ``distance``, ``rank`` and ``stage``.
 
     ``entries`` has ``entry BIGINT, name STRING, rank INT``. NULL and empty values mean none; equal distances go to the
-    canonical name, then to the least entry; an empty list matches nothing. Columns of ``df`` that are named like one of
-    the result get ``_in`` appended. Values are matched once for each batch, so a frequent value costs no shuffle.
+    canonical name, then to the least entry; an empty list matches nothing; repeated rows stay repeated. Columns of ``df``
+    that are named like one of the result get ``_in`` appended.
     """
-    clean = entries.filter(F.col("entry").isNotNull() & F.col("name").isNotNull()).select("entry", "name", "rank").distinct()
-    shards = max(1, math.ceil(clean.count() / shard))
+    clean = entries.filter(F.col("entry").isNotNull() & F.col("name").isNotNull()).select(F.col("entry").cast("bigint"), F.col("name").cast("string"), F.col("rank").cast("int")).distinct()
     keep = [c for c in df.columns if c != value] + [value]
-    taken = {c: f"{c}_in" for c in ("entry", "distance", "rank", "stage") if c in keep and c != value}
-    base = df.select(*keep).withColumnsRenamed(taken)
-    keep = [taken.get(c, c) for c in keep]
-    schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes) + ", entry bigint, distance int, rank int, stage int"
-    out = None
-    for k in range(shards):
-        part = sorted(map(tuple, clean.filter(F.pmod(F.xxhash64("entry"), F.lit(shards)) == k).collect()))
-        got = base.mapInArrow(_matcher(part, len(keep)), schema)
-        out = got if out is None else out.unionByName(got)
-    if shards > 1:
-        w = Window.partitionBy(*keep).orderBy("stage", "distance", "rank", "entry")
-        out = out.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    return out
+    base = df.select(*keep).withColumnsRenamed({c: f"{c}_in" for c in ("entry", "distance", "rank", "stage") if c in keep and c != value})
+    values = base.select(F.col(value).cast("string").alias("_value")).distinct()
+    listed = bounded_rows(clean, shard)
+    if listed is not None:
+        found = values.mapInArrow(_matcher(sorted(map(tuple, listed))), f"_value string, {RESULT}")
+    else:
+        shards, parts = math.ceil(clean.count() / shard), max(1, math.ceil(values.count() / PART))
+        cut = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        v = values.withColumn("part", cut("_value", parts)).withColumn("shard", every(shards))
+        e = clean.withColumn("shard", cut("entry", shards)).withColumn("part", every(parts))
+        by_shard = v.groupBy("shard", "part").cogroup(e.groupBy("shard", "part")).applyInPandas(_shard_candidates, "_value string, cand string")
+        found = by_shard.groupBy("_value").agg(F.collect_list("cand")).mapInArrow(_decider, f"_value string, {RESULT}")  # a candidate row for each shard
+    found = written(found, "mapped")
+    return base.join(small(found, BROADCAST_KEYS), F.col(value).cast("string").eqNullSafe(F.col("_value")), "left").drop("_value")

@@ -176,6 +176,9 @@ TYPED = {
 }
 
 
+NAMES = ["Applied Physics", "Applied Phonetics", "Machine Learning", "Master Logic", "Physics I", "Physics II", "Physics", "Data Structures", "Digital Signals", "Data Science"]
+
+
 @pytest.mark.parametrize("shard", [20_000, 3])
 def test_values_to_entries(spark, shard):
     df = spark.createDataFrame([(i, v, "c") for i, v in enumerate(TYPED)], "i int, v string, entry string")
@@ -185,3 +188,20 @@ def test_values_to_entries(spark, shard):
     assert canonical.map_values(df.limit(0), "v", e).count() == 0
     assert {r.entry for r in canonical.map_values(df, "v", e.limit(0)).collect()} == {0}
     assert "entry_in" in canonical.map_values(df, "v", e).columns
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(NAMES), st.integers(0, 1)), max_size=14), st.lists(st.sampled_from([*NAMES, "Appl Ph", "ML", "M L", "aplied phisics", "Intro to Physics II", "phys", "", "zz"]), max_size=6), st.integers(1, 50))
+def test_shards_change_nothing(names, values, shards):
+    entries = [(i + 1, n, r) for i, (n, r) in enumerate(names)]
+    whole = canonical.Catalogue(entries).match(values)
+    parts = [canonical.Catalogue([e for e in entries if hash((e[0], shards)) % shards == k]).candidates(values) for k in range(shards)]
+    assert [canonical.decide([p[i] for p in parts]) for i in range(len(values))] == whole
+
+
+def test_ambiguous_over_shards(spark):
+    e = spark.createDataFrame([(1, "Applied Physics", 0), (2, "Applied Phonetics", 0), (3, "Machine Learning", 0), (4, "Master Logic", 0)], "entry bigint, name string, rank int")
+    df = spark.createDataFrame([(v,) for v in ("Appl Ph", "ML", "ML", "Applied Physic")], "v string")
+    for shard in (1, 2, 3, 20_000):
+        got = sorted((r.v, r.entry) for r in canonical.map_values(df, "v", e, shard).collect())
+        assert got == [("Appl Ph", 0), ("Applied Physic", 1), ("ML", 0), ("ML", 0)]
