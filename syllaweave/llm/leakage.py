@@ -5,7 +5,10 @@ contained wholly. Documents are laid out as pieces of at most MAX_PIECE shingles
 lies whole in one piece, and pieces are partitioned by their size. A window of w shingles contained in a piece of at most
 u has Jaccard w / u or more with it, so a partition takes as many minima as make the chance of no common minimum
 ``miss`` at most. Pieces that share a minimum with a window are candidates, and a candidate is verified by exact
-containment of the window's consecutive shingles. Test items are sent to the workers in blocks of a fixed size.
+containment of the window's consecutive shingles.
+
+Up to BLOCK test items are sent to the workers. More of them stay a table: the corpus is read once, and its pieces meet
+the items over the same minima and the same windows in joins. Both ways find the same.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from syllaweave.llm import batch as B
 from syllaweave.llm.batch import U
+from syllaweave.session import bounded_rows
 
 SHINGLE = 5
 MAX_PIECE = 64
 SIZES = (16, 32, MAX_PIECE)
-#: Test items in one block.
+#: Test items that are sent to the workers.
 BLOCK = 5_000
 
 
@@ -45,6 +49,37 @@ def _factors(count: int) -> np.ndarray:
     return B.mix(np.arange(1, count + 1, dtype=U) * U(0xA0761D6478BD642F)) | U(1)
 
 
+def _pieces(doc: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes, and the first shingle, the end and the text of every piece."""
+    width = least - SHINGLE + 1
+    at, sh = _windows(doc, h, SHINGLE)
+    if not len(sh):
+        return sh, *(np.zeros(0, np.int64) for _ in range(3))
+    sdoc = doc[at]
+    edge = np.flatnonzero(np.concatenate([[True], sdoc[1:] != sdoc[:-1], [True]]))
+    begin, size = edge[:-1], np.diff(edge)
+    step = MAX_PIECE - width + 1
+    k, text = B.expand(np.zeros(len(size), np.int64), np.maximum(1, -(-(size - width + 1) // step)))
+    lo = begin[text] + k * step
+    hi = np.minimum(lo + MAX_PIECE, begin[text] + size[text])
+    keep = hi - lo >= width
+    return sh, lo[keep], hi[keep], sdoc[lo[keep]]
+
+
+def _piece_minima(sh: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Band, pieces and their minima; a piece has as many bands as its size needs."""
+    factors, least_size = _factors(max(need)), 0
+    for u, n in zip(SIZES, need):
+        part = np.flatnonzero((hi - lo > least_size) & (hi - lo <= u))
+        least_size = u
+        if len(part):
+            idx, owner = B.expand(lo[part], hi[part] - lo[part])
+            s = sh[idx]
+            cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            for band in range(n):
+                yield band, part, np.minimum.reduceat(s * factors[band], cut)
+
+
 class Index:
     """Minima of the windows of a block of test items, for each band, and the windows' hashes for the verification."""
 
@@ -75,38 +110,16 @@ class Index:
         if not self.minima:
             return none
         doc, h, _, _ = B.words(texts)
-        _, sh = _windows(doc, h, SHINGLE)
-        if not len(sh):
-            return none
-        sdoc = doc[_windows(doc, h, SHINGLE)[0]]
-        edge = np.flatnonzero(np.concatenate([[True], sdoc[1:] != sdoc[:-1], [True]]))
-        begin, size = edge[:-1], np.diff(edge)
-        step = MAX_PIECE - self.width + 1
-        count = np.maximum(1, -(-(size - self.width + 1) // step))
-        k, text = B.expand(np.zeros(len(size), np.int64), count)
-        lo = begin[text] + k * step
-        hi = np.minimum(lo + MAX_PIECE, begin[text] + size[text])
-        keep = hi - lo >= self.width
-        lo, hi = lo[keep], hi[keep]
-        factors = _factors(max(self.need))
+        sh, lo, hi, text = _pieces(doc, h, self.least)
         found_piece, found_item = [], []
-        least_size = 0
-        for u, need in zip(SIZES, self.need):
-            part = np.flatnonzero((hi - lo > least_size) & (hi - lo <= u))
-            least_size = u
-            if not len(part):
-                continue
-            idx, owner = B.expand(lo[part], hi[part] - lo[part])
-            s = sh[idx]
-            cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            for f, (keys, items) in zip(factors[:need], self.minima):
-                m = np.minimum.reduceat(s * f, cut)
-                a, b = np.searchsorted(keys, m, "left"), np.searchsorted(keys, m, "right")
-                hit = np.flatnonzero(b > a)
-                if len(hit):
-                    i, o = B.expand(a[hit], b[hit] - a[hit])
-                    found_piece.append(part[hit][o])
-                    found_item.append(items[i])
+        for band, part, m in _piece_minima(sh, lo, hi, self.need):
+            keys, items = self.minima[band]
+            a, b = np.searchsorted(keys, m, "left"), np.searchsorted(keys, m, "right")
+            hit = np.flatnonzero(b > a)
+            if len(hit):
+                i, o = B.expand(a[hit], b[hit] - a[hit])
+                found_piece.append(part[hit][o])
+                found_item.append(items[i])
         if not found_piece:
             return none
         cand = np.unique(np.stack([np.concatenate(found_piece), np.concatenate(found_item)]), axis=1)
@@ -121,7 +134,7 @@ class Index:
         real = np.unique(np.stack([pieces[owner[hit][o]], self.item[i]]), axis=1)
         both = np.unique(np.concatenate([cand, real], axis=1), axis=1, return_counts=True)
         ok = both[0][:, both[1] == 2]
-        return sdoc[lo[ok[0]]], ok[1]
+        return text[ok[0]], ok[1]
 
 
 def _searcher(items: list[tuple[int, str]], least: int, miss: float):
@@ -137,17 +150,67 @@ def _searcher(items: list[tuple[int, str]], least: int, miss: float):
     return run
 
 
+def _named(m: np.ndarray, band: int) -> np.ndarray:
+    return B.mix(m + U(band + 1)).view(np.int64)
+
+
+def _rows(key: pa.Array, piece: np.ndarray, kind: bool, names: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key, pa.array(piece.astype(np.int64)), pa.array(np.full(len(names), kind)), pa.array(names)], ["key", "piece", "exact", "name"])
+
+
+ROWS = "key bigint, piece bigint, exact boolean, name bigint"
+
+
+def _document_names(least: int, miss: float):
+    """(key, text) to ROWS: the minima and the windows of every piece of a document."""
+    need = [bands(least - SHINGLE + 1, u, miss) for u in SIZES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            texts = [t or "" for t in rb.column(1).to_pylist()]
+            for lo_, hi_ in B.slices([len(t) for t in texts]):
+                doc, h, _, _ = B.words(texts[lo_:hi_])
+                sh, lo, hi, text = _pieces(doc, h, least)
+                if not len(lo):
+                    continue
+                keys = rb.column(0).take(pa.array(text + lo_))
+                for band, part, m in _piece_minima(sh, lo, hi, need):
+                    yield _rows(keys.take(pa.array(part)), lo[part], False, _named(m, band))
+                idx, owner = B.expand(lo, hi - lo - (least - SHINGLE))
+                start = _windows(doc, h, SHINGLE)[0][idx]
+                yield _rows(keys.take(pa.array(owner)), lo[owner], True, B.span_hash(B.running(h), start, start + least).view(np.int64))
+
+    return run
+
+
+def _item_names(least: int, miss: float):
+    """(item, text) to ROWS: the minima and the hashes of every window of a test item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            index = Index(list(zip(rb.column(0).to_pylist(), rb.column(1).to_pylist())), least, miss)
+            for band, (m, items) in enumerate(index.minima):
+                yield _rows(pa.array(items), np.zeros(len(m)), False, _named(m, band))
+            yield _rows(pa.array(index.item), np.zeros(len(index.item)), True, index.whole.view(np.int64))
+
+    return run
+
+
+def _joined(base: DataFrame, clean: DataFrame, least: int, miss: float) -> DataFrame:
+    names = clean.mapInArrow(_item_names(least, miss), ROWS).select(F.col("key").alias("item"), "exact", "name").distinct()
+    met = base.mapInArrow(_document_names(least, miss), ROWS).join(names, ["exact", "name"])
+    # a piece shares a minimum with the item, and a whole window
+    both = met.groupBy("key", "piece", "item").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).filter("b and not a")
+    return both.select("key", "item")
+
+
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, least: int = 15, miss: float = 1e-5) -> DataFrame:
     """``(key, item)`` for each document with at least ``least`` consecutive words of a test item in the item's order.
 
     Items of fewer words and NULL or empty texts give no row; repeated rows count once. Keys and items are BIGINT.
     """
     clean = items.select(F.col(item).cast("bigint").alias("item"), F.col(passage).alias("text")).filter(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
-    blocks = max(1, math.ceil(clean.count() / BLOCK))
     base = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    out = None
-    for k in range(blocks):
-        block = sorted(map(tuple, clean.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()))
-        found = base.mapInArrow(_searcher(block, least, miss), "key bigint, item bigint")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    listed = bounded_rows(clean, BLOCK)
+    found = base.mapInArrow(_searcher(sorted(map(tuple, listed)), least, miss), "key bigint, item bigint") if listed is not None else _joined(base, clean, least, miss)
+    return found.distinct()

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from syllaweave.llm import canonical, consensus, cross_split as cs, leakage, long_repeats, near_duplicates as nd, packing, splits
 from syllaweave.llm.oracle import ORACLE  # noqa: F401
-from syllaweave.session import small, written
+from syllaweave.functions import course
 from syllaweave.functions.text import reduced
 from syllaweave.plans.packed_queries import prerequisite_values
+from syllaweave.session import small
 from syllaweave.sources.tables import table
 
 NEAR = 0.75
@@ -78,8 +79,8 @@ SHARES = {"train": 0.6, "val": 0.2, "test": 0.2}
 
 def p2_assignment(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "courses_small")
-    a = splits.assign(c, "id", splits.name_key(F.col("course_key"), F.col("course_name")), splits.code_key(F.col("code")), SHARES)
-    return a.join(c.select(F.col("id").alias("key"), "code", splits.year_key(F.col("academic_year")).alias("academic_year")).distinct(), "key").withColumnRenamed("key", "id")
+    a = splits.assign(c, "id", course.name_key(F.col("course_key"), F.col("course_name")), course.code_key(F.col("code")), SHARES)
+    return a.join(c.select(F.col("id").alias("key"), "code", course.year_key(F.col("academic_year")).alias("academic_year")).distinct(), "key").withColumnRenamed("key", "id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +111,19 @@ def p6_labels(spark: SparkSession, d: str) -> DataFrame:
     return s.join(model, "item", "left")
 
 
+#: A prior so strong that all raters stay equally reliable and all classes equally frequent: an item's posterior then
+#: depends on the numbers of its votes only, and a label is more probable than not where it has the most of them.
+TIED = {"diagonal": 4e9, "off": 1e9, "share": 1e9}
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_labels(spark, d).filter(F.col("stored") != F.col("label")).select("item", "label").distinct()
+    """Items whose stored consensus isn't the model's label under equal raters, if two votes or more support it, else uncertain."""
+    s = consensus.supported(table(spark, d, "jdskills_llm"), "item", [p for p, _ in PASSES], "consensus", LABELS)
+    fitted = consensus.fit(_skill_votes(spark, d), LABELS, **TIED).posterior
+    sure = (F.col("n_votes") >= 2) & (F.col("probability") > 0.5 + 1e-6)
+    label = F.coalesce(F.when(sure, F.col("model_label")), F.lit("uncertain"))
+    x = s.select("item", "stored").join(fitted.select("item", F.col("label").alias("model_label"), "probability", "n_votes"), "item", "left").withColumn("label", label)
+    return x.filter(F.col("stored") != F.col("label")).select("item", "label").distinct()
 
 
 def p6_raters(spark: SparkSession, d: str) -> DataFrame:

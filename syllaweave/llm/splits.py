@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from syllaweave.functions.text import reduced
 from syllaweave.operators.graph import components
 from syllaweave.session import written
 
@@ -94,20 +93,24 @@ def bin_splits(weights: list[tuple[int, int]], shares: dict[str, float]) -> dict
 def related(df: DataFrame, key: str, first: Column, second: Column) -> DataFrame:
     """``(key, first, second, root)``: rows with an equal ``first`` or an equal ``second``, directly or over others, share ``root``.
 
-    NULL and empty keys connect nothing; a row without both is alone.
+    NULL and empty keys connect nothing; a row without both is alone; rows with an equal ``key`` share ``root`` too.
     """
     null = F.lit(None).cast("string")
     clean = df.select(F.col(key).alias("key"), first.alias("first"), second.alias("second"))
     clean = clean.select("key", F.when(F.col("first") != "", F.concat(F.lit("k"), "first")).otherwise(null).alias("first"), F.when(F.col("second") != "", F.concat(F.lit("c"), "second")).otherwise(null).alias("second")).distinct()
-    roots = components(clean.select("first", "second"), "first", "second")
-    out = clean.withColumn("node", F.coalesce("first", "second", F.concat(F.lit("i"), "key"))).join(roots, "node", "left")
+    node = F.coalesce("first", "second", F.concat(F.lit("i"), "key"))
+    # a key with several rows joins their groups
+    several = clean.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    across = clean.join(several, "key", "left_semi").select(F.concat(F.lit("i"), "key").alias("first"), node.alias("second"))
+    roots = components(clean.select("first", "second").unionByName(across), "first", "second")
+    out = clean.withColumn("node", node).join(roots, "node", "left")
     return out.select("key", F.substring("first", 2, 1 << 20).alias("first"), F.substring("second", 2, 1 << 20).alias("second"), F.coalesce("root", "node").alias("root"))
 
 
 def assign(df: DataFrame, key: str, first: Column, second: Column, shares: dict[str, float]) -> DataFrame:
     """``(key, group, group_code, split)`` for each key; ``group_code`` is the least ``second`` of the group or NULL.
 
-    A key that stands in several groups joins none of them: give every row its own key. An empty table gives no rows.
+    Rows with an equal key are one record and come into one split. An empty table gives no rows.
     """
     rows = written(related(df, key, first, second), "related")
     groups = rows.groupBy("root").agg(F.countDistinct("key").alias("weight"), F.min("second").alias("group_code"))
@@ -120,22 +123,3 @@ def assign(df: DataFrame, key: str, first: Column, second: Column, shares: dict[
     for s in shares:
         split = F.when(F.col("bin").isin([b for b, v in chosen.items() if v == s]), F.lit(s)).otherwise(split)
     return rows.join(laid, "root").select("key", F.col("root").alias("group"), "group_code", split.alias("split")).distinct()
-
-
-def code_key(c: Column) -> Column:
-    """Upper-cased and cut to A-Z and 0-9; a code without a digit is missing."""
-    cut = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]+", "")
-    return F.when(cut.rlike("[0-9]"), cut)
-
-
-def name_key(key: Column, name: Column) -> Column:
-    """The reduced key, or the reduced name where it is NULL or empty."""
-    return F.coalesce(F.nullif(reduced(key), F.lit("")), F.nullif(reduced(name), F.lit("")))
-
-
-def year_key(c: Column) -> Column:
-    """An academic year in any spelling as ``YYYY-YY``; NULL if there are no two consecutive years in it."""
-    y = F.regexp_extract(c, r"(\d{4}|\d{2})\D+(\d{4}|\d{2})", 1)
-    z = F.regexp_extract(c, r"(\d{4}|\d{2})\D+(\d{4}|\d{2})", 2)
-    a, b = (F.substring(x, -2, 2).try_cast("int") for x in (y, z))
-    return F.when((a + 1) % 100 == b, F.concat(F.lit("20"), F.substring(y, -2, 2), F.lit("-"), F.substring(z, -2, 2)))

@@ -205,3 +205,82 @@ def test_ambiguous_over_shards(spark):
     for shard in (1, 2, 3, 20_000):
         got = sorted((r.v, r.entry) for r in canonical.map_values(df, "v", e, shard).collect())
         assert got == [("Appl Ph", 0), ("Applied Physic", 1), ("ML", 0), ("ML", 0)]
+
+
+def test_a_key_in_two_groups_joins_them(spark):
+    rows = [("a", "x", "C1"), ("a", "y", "C2"), ("b", "x", None), ("c", "y", None), ("d", "z", "C3")]
+    df = spark.createDataFrame(rows, "id string, k string, c string")
+    out = {r.key: (r.group, r.group_code) for r in splits.assign(df, "id", F.col("k"), F.col("c"), {"train": 0.5, "test": 0.5}).collect()}
+    assert out["a"] == out["b"] == out["c"] and out["a"][1] == "C1" and out["d"][1] == "C3" and len(out) == 4
+
+
+@pytest.mark.parametrize("block", [1, 5_000])
+def test_leaks_of_listed_and_of_joined_items(spark, block, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK", block)
+    rng = random.Random(12)
+    text = lambda n: [f"t{rng.randrange(80)}" for _ in range(n)]
+    items = [text(rng.randrange(12, 40)) for _ in range(30)]
+    docs = [text(rng.choice([0, 14, 15, 70, 400])) for _ in range(60)]
+    for d in docs[::2]:
+        i = rng.choice(items)
+        k, n = rng.randrange(len(i)), rng.randrange(12, 20)
+        d[len(d) // 2 : len(d) // 2] = i[k : k + n]
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)] + [(99, None)], "doc long, text string")
+    e = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)] + [(None, "x"), (77, None)], "item long, text string")
+    got = {(r.key, r.item) for r in leakage.leaks(df, "doc", "text", e, "item", "text").collect()}
+    spans = lambda w: {tuple(w[i : i + 15]) for i in range(len(w) - 14)}
+    assert got == {(k, j) for k, d in enumerate(docs) for j, i in enumerate(items) if spans(d) & spans(i)} and len(got) > 8
+
+
+def test_consensus_against_numpy(spark):
+    """The posterior, the reliability and the rounds of the model against plain loops."""
+    rng = np.random.default_rng(3)
+    labels, raters = ["correct", "wrong"], ["A", "B", "C", "D"]
+    right = {"A": 0.95, "B": 0.8, "C": 0.6, "D": 0.3}
+    votes = []
+    for i in range(120):
+        truth = int(rng.random() < 0.4)
+        for r in rng.choice(raters, 3, replace=False):
+            votes.append((f"i{i:03d}", str(r), labels[truth if rng.random() < right[r] else 1 - truth]))
+    df = spark.createDataFrame([(i, k, r, x) for k, (i, r, x) in enumerate(votes)], "item string, pass int, rater string, label string")
+    got = consensus.fit(df, labels)
+    dg = lambda x: float(consensus._digamma(np.array([x]))[0])
+    by_item = {}
+    for i, r, x in votes:
+        by_item.setdefault(i, []).append((r, labels.index(x)))
+    q = {i: np.array([sum(x == k for _, x in v) + 0.5 for k in (0, 1)]) for i, v in by_item.items()}
+    q = {i: p / p.sum() for i, p in q.items()}
+    before = None
+    for _ in range(60):
+        a = {r: np.array([[4.0, 1.0], [1.0, 4.0]]) for r in raters}
+        s = np.ones(2)
+        for i, v in by_item.items():
+            s = s + q[i]
+            for r, x in v:
+                a[r][:, x] += q[i]
+        e = {r: np.array([[dg(m[k, x]) - dg(m[k].sum()) for x in (0, 1)] for k in (0, 1)]) for r, m in a.items()}
+        share = np.array([dg(s[k]) - dg(s.sum()) for k in (0, 1)])
+        for i, v in by_item.items():
+            z = share + sum(e[r][:, x] for r, x in v)
+            q[i] = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        level = sum(float((a[r] * e[r]).sum()) for r in raters)
+        if before is not None and abs(level - before) <= 1e-5 * abs(level):
+            break
+        before = level
+    for r in got.posterior.collect():
+        assert abs(r.probability - q[r.item].max()) < 1e-6 and (abs(q[r.item][0] - 0.5) < 1e-6 or r.label == labels[int(q[r.item].argmax())])
+    w = s / s.sum()
+    for r in got.raters.collect():
+        m = a[r.rater]
+        assert abs(r.reliability - sum(w[k] * m[k, k] / m[k].sum() for k in (0, 1))) < 1e-6 and r.low < r.reliability < r.high
+
+
+def test_equal_raters_give_the_label_of_most_votes(spark):
+    from syllaweave.llm.queries import TIED
+
+    cases = {"a": "ccc", "b": "ccw", "c": "cw", "d": "ww", "e": "w", "f": "wwc", "g": "cc"}
+    rows = [(i, k, f"R{(k + len(i) * n) % 5}", {"c": "correct", "w": "wrong"}[x]) for n, (i, v) in enumerate(cases.items()) for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "item string, pass int, rater string, label string")
+    got = {r.item: (r.label, r.probability, r.n_votes) for r in consensus.fit(df, ["correct", "wrong"], **TIED).posterior.collect()}
+    sure = {i: x for i, (x, p, n) in got.items() if n >= 2 and p > 0.5 + 1e-6}
+    assert sure == {"a": "correct", "b": "correct", "d": "wrong", "f": "wrong", "g": "correct"} and abs(got["c"][1] - 0.5) < 1e-6
