@@ -133,7 +133,7 @@ def requirements(text: Column) -> Column:
     """Requirement statements of a job description: bullet lines or sentences of five words or more."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, rules.BULLET, "")))
     lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(rules.JOB_HEADER) & ~x.endswith(":"))
-    parts = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, r"(?<=[.;])\s+"), F.trim)))
+    parts = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, r"(?<=[.;])\s+"), lambda x: F.trim(x))))
     return F.filter(parts, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= 5)
 
 
@@ -224,7 +224,7 @@ def topics_in(text: Column) -> Column:
 
 def word_groups(text: Column, size: int = 3, most: int = 40) -> Column:
     """Windows of ``size`` sentences, of more than four words each, at most ``most``."""
-    s = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    s = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
     def windows(x: Column) -> Column:
         starts = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from syllaweave.functions import course as C
-from syllaweave.functions.text import words_of
+from syllaweave.functions.text import let, words_of
 
 #: Words that name no skill by themselves, leading verbs and determiners of skill phrases.
 GENERIC_SKILL_WORDS = (
@@ -25,49 +25,51 @@ LEAD_VERB = (
     r"maintain|reduce|remove|combine|improve|keep|experience|develop|create|use)\s+(?:and\s+)?"
 )
 DETERMINERS = r"(?i)^(?:the|a|an|this|these|their|our|its|all|any|some|such|other|strong|solid|good|deep|basic|new)\s+"
-_BREAK = re.compile(r"[,;:.()/]|\b(?:and|or|with|of|for|in|on|to|using|such as|like|from|by|at|into|as|through|under|between|over|before|after|is|are|be)\b", re.I)
+TOOLS = r"(?i)\b(?:python|pytorch|tensorflow|docker|kubernetes|gpus?|cloud|rest api|api development|hugging face|git|linux|sql)\b"
+PHRASE_BREAK = r"(?i)[,;:.()/]|\b(?:and|or|with|of|for|in|on|to|using|such as|like|from|by|at|into|as|through|under|between|over|before|after|is|are|be)\b"
 
 
-def skill_phrases_of(sentence: str | None) -> list[str]:
-    """Noun-like phrases of a requirement by rule: cut at function words, then leading determiners and verbs go."""
-    generic = set(GENERIC_SKILL_WORDS.split())
-    out = []
-    for p in _BREAK.split(sentence or ""):
-        p, before = re.sub("^[^A-Za-z]+", "", p.strip()), None
-        while p != before:
-            before, p = p, re.sub(LEAD_VERB, "", re.sub(DETERMINERS, "", p))
-        words = re.findall(r"[A-Za-z][A-Za-z+\-]*", p)
-        if len(p) > 2 and words and any(w.lower() not in generic for w in words):
-            out.append(p)
-    return out
+def skill_phrases(sentence: Column) -> Column:
+    """Noun-like phrases of a requirement by rule: cut at function words, then leading determiners and verbs go.
 
-
-@F.pandas_udf(ArrayType(StringType()))
-def skill_phrases(s: pd.Series) -> pd.Series:
-    """:func:`skill_phrases_of` over a column."""
-    return s.map(skill_phrases_of)
+    A phrase keeps its first spelling; it has three characters or more and a word that isn't generic.
+    """
+    generic = GENERIC_SKILL_WORDS.split()
+    lead = rf"(?i)^(?:{DETERMINERS[5:]}|{LEAD_VERB[5:]})+"
+    parts = F.transform(F.split(F.coalesce(sentence, F.lit("")), PHRASE_BREAK), lambda p: F.regexp_replace(F.regexp_replace(p, r"^[^A-Za-z]+|[\s\xA0]+$", ""), lead, ""))
+    words = lambda p: F.regexp_extract_all(F.lower(p), F.lit(r"[a-z][a-z+\-]*"), F.lit(0))
+    return F.filter(parts, lambda p: (F.length(p) > 2) & F.exists(words(p), lambda w: ~w.isin(generic)))
 
 
 def average_linkage(vectors: np.ndarray, tau: float) -> np.ndarray:
-    """Cluster of each unit vector: average linkage on cosine, merged while the similarity is ``tau`` or more."""
+    """Cluster of each unit vector: average linkage on cosine, merged while the similarity is ``tau`` or more.
+
+    Every row keeps its closest partner, so a merge looks at one row and at those whose partner it takes away.
+    """
     n = len(vectors)
     sim = vectors @ vectors.T
     np.fill_diagonal(sim, -np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    size, label = np.ones(n), np.arange(n)
+    near = sim.argmax(1) if n else np.zeros(0, np.int64)
+    best = sim[np.arange(n), near]
     while n > 1:
-        i, j = divmod(int(sim.argmax()), n)
-        if sim[i, j] < tau:
+        i = int(best.argmax())
+        if best[i] < tau:
             break
-        i, j = min(i, j), max(i, j)
+        i, j = min(i, int(near[i])), max(i, int(near[i]))
         merged = (sim[i] * size[i] + sim[j] * size[j]) / (size[i] + size[j])
+        merged[[i, j]] = -np.inf
         sim[i], sim[:, i] = merged, merged
-        sim[i, i] = -np.inf
         sim[j], sim[:, j] = -np.inf, -np.inf
-        dead = ~alive
-        sim[i, dead], sim[dead, i] = -np.inf, -np.inf
         size[i] += size[j]
-        alive[j] = False
         label[label == j] = i
+        best[j] = -np.inf
+        closer = np.flatnonzero(merged > best)
+        near[closer], best[closer] = i, merged[closer]
+        lost = np.flatnonzero(((near == i) | (near == j)) & (best > -np.inf) & (merged < best))
+        for r in np.append(lost, i):
+            near[r] = sim[r].argmax()
+            best[r] = sim[r, near[r]]
     return np.unique(label, return_inverse=True)[1]
 
 
@@ -103,6 +105,27 @@ def topic_model(df: DataFrame, key: str, vec: str, k: int = 40, starts: int = 4,
     return out.select(key, "topic", sim.alias("sim")), cents
 
 
+def skill_gaps(jobs: DataFrame, units: DataFrame, tau: float = 0.55, least: int = 2) -> DataFrame:
+    """``(theme, n_jobs, n_phrases, best, topic_key, kind, place)`` of the skills that ``least`` jobs or more ask for.
+
+    ``jobs`` has ``job, text``, ``units`` ``id, title, text``. Phrases of one reduced form are one theme, named by the least
+    of them. A theme is covered if a topic of a unit is as close as ``tau`` (cosine of content words), else it is a tool
+    (for the lab) or a gap. Places count within each kind, the most wanted first.
+    """
+    from syllaweave.functions.text import reduced
+    from syllaweave.operators.prerequisites import close
+
+    p = jobs.select("job", F.explode(C.requirements(F.col("text"))).alias("r")).select("job", F.explode(skill_phrases(F.col("r"))).alias("phrase")).withColumn("k", reduced(F.col("phrase"))).filter("k <> ''")
+    t = p.groupBy("k").agg(F.min("phrase").alias("theme"), F.count_distinct("job").alias("n_jobs"), F.count_distinct("phrase").alias("n_phrases")).filter(F.col("n_jobs") >= least).drop("k")
+    topics = units.select(F.explode(C.unit_topics(F.col("text"))).alias("text")).distinct()
+    best = close(t.select(F.col("theme").alias("phrase")), topics, tau).groupBy(F.col("phrase").alias("theme")).agg(F.max("sim").alias("best"), F.max_by("text", F.struct("sim", "text")).alias("topic_key"))
+    x = t.join(best, "theme", "left")
+    kind = F.when(F.col("best").isNotNull(), "covered").when(F.col("theme").rlike(TOOLS), "tool").otherwise("gap")
+    x = x.withColumn("kind", kind).withColumn("best", F.coalesce("best", F.lit(0.0)))
+    w = Window.partitionBy("kind").orderBy(F.desc("n_jobs"), F.desc("n_phrases"), F.lower("theme"), "theme")
+    return x.withColumn("place", F.row_number().over(w))
+
+
 def teaching_scheme(df: DataFrame, by: list[str]) -> DataFrame:
     """The most frequent (lecture, practical, tutorial, credits) of each group among rows with credits; ties to the least."""
     s = F.struct("lecture_hrs", "practical_hrs", "tutorial_hrs", "credits")
@@ -192,30 +215,28 @@ def unsupported_rate(summary: Column, source: Column) -> Column:
     return F.size(F.array_except(w, words_of(source))) / F.greatest(F.size(w), F.lit(1))
 
 
-def perturb(kind: str, rate: float, seed: int):
-    """A seeded change of a text: ``typos`` (neighbours swapped), ``drop`` (words left out) or ``truncate`` (the first part kept)."""
-    if kind not in ("typos", "drop", "truncate"):
-        raise ValueError(f"unknown kind {kind!r}")
-
-    def change(text: str | None) -> str:
-        rng, words = np.random.default_rng(seed), (text or "").split()
-        if kind == "truncate":
-            return " ".join(words[: max(1, int(len(words) * rate))])
-        if kind == "drop":
-            return " ".join([w for w in words if rng.random() >= rate] or words[:1])
-        out = []
-        for w in words:
-            if len(w) > 3 and rng.random() < rate:
-                i = int(rng.integers(1, len(w) - 2))
-                w = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
-            out.append(w)
-        return " ".join(out)
-
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(change)
-
-    return run
+def perturb(text: Column, kind: str, rate: float, seed: int) -> Column:
+    """A seeded change of a text: ``typos`` (neighbours swapped), ``drop`` (words left out) or ``truncate`` (the first part kept).
+
+    Whether a word is changed, and where, is decided by a hash of the seed, its place and the word, so the same text
+    changes alike everywhere. A text keeps its first word at least; NULL counts as empty.
+    """
+    words = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    share = lambda w, i, part: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), i.cast("string"), w)), part, 6), 16, 10).cast("double") / float(16**6)
+
+    def swapped(w: Column, i: Column) -> Column:
+        k = (F.floor(share(w, i, 7) * (F.length(w) - 3)) + 2).cast("int")
+        mixed = F.concat(F.substr(w, F.lit(1), k - 1), F.substr(w, k + 1, F.lit(1)), F.substr(w, k, F.lit(1)), F.substr(w, k + 2))
+        return F.when((F.length(w) > 3) & (share(w, i, 1) < rate), mixed).otherwise(w)
+
+    if kind == "truncate":
+        return F.array_join(let(words, lambda x: F.slice(x, 1, F.greatest(F.lit(1), F.floor(F.size(x) * F.lit(rate)).cast("int")))), " ")
+    if kind == "drop":
+        kept = lambda x: F.filter(x, lambda w, i: share(w, i, 1) >= rate)
+        return F.array_join(let(words, lambda x: F.when(F.size(kept(x)) > 0, kept(x)).otherwise(F.slice(x, 1, 1))), " ")
+    if kind == "typos":
+        return F.array_join(F.transform(words, swapped), " ")
+    raise ValueError(f"unknown kind {kind!r}")
 
 
 def stratified(df: DataFrame, stratum: str, key: str, quota: int, seed: int = 42) -> DataFrame:

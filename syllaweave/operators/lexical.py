@@ -28,9 +28,10 @@ def terms(text: Column, ngrams: int = 1) -> Column:
     return let(w, lambda x: F.concat(x, F.transform(F.filter(F.arrays_zip(x.alias("a"), F.slice(x, 2, 1 << 30).alias("b")), lambda p: p["b"].isNotNull()), lambda p: F.concat_ws(" ", p["a"], p["b"]))))
 
 
-def counts(df: DataFrame, keys: list[str], text: Column, ngrams: int = 1) -> DataFrame:
-    """``(*keys, term, tf)``; a row without words has no terms. Rows with equal keys add up."""
-    return df.select(*keys, F.explode(terms(text, ngrams)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+def counts(df: DataFrame, keys: list[str], text: Column, ngrams: int = 1, stop: bool = True) -> DataFrame:
+    """``(*keys, term, tf)``; a row without words has no terms. Rows with equal keys add up. Without ``stop``, function words count too."""
+    words = terms(text, ngrams) if stop else F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    return df.select(*keys, F.explode(words).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(tf: DataFrame, keys: list[str], n_docs: int, fit: DataFrame | None = None, min_df: int = 2, max_df: float = 0.8, only: DataFrame | None = None) -> DataFrame:
@@ -197,3 +198,19 @@ def hashed_vectors(tf: DataFrame, doc: str, dims: int = 256) -> DataFrame:
     x = tf.select(doc, (h % dims).cast("int").alias("dim"), F.when(F.floor(h / dims) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"), "tf")
     v = x.groupBy(doc, "dim").agg(F.sum(F.col("sign") * (1 + F.log("tf"))).alias("v")).filter("v <> 0")
     return v.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(doc))))
+
+
+def dense(vectors: DataFrame, key: str, dims: int) -> DataFrame:
+    """``(key, vec ARRAY<DOUBLE>)`` of ``(key, dim, v)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for at in range(0, rb.num_rows, 1_000):
+                part = rb.slice(at, 1_000)
+                x = part.column(1).flatten()
+                m = np.zeros((part.num_rows, dims))
+                m[np.repeat(np.arange(part.num_rows), np.diff(part.column(1).offsets.to_numpy())), x.field("dim").to_numpy()] = x.field("v").to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dims), pa.array(m.ravel()))], [key, "vec"])
+
+    m = vectors.groupBy(key).agg(F.collect_list(F.struct("dim", "v")).alias("x"))
+    return m.mapInArrow(run, f"{key} {dict(vectors.dtypes)[key]}, vec array<double>")

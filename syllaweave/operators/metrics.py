@@ -96,7 +96,7 @@ def bootstrap_mean(df: DataFrame, value: str, group: str, n: int = 1000, seed: i
     """
     per = df.groupBy(group).agg(F.sum(value).cast("double").alias("s"), F.count(value).alias("c"))
     reps = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = F.pmod(F.xxhash64(group, "rep", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(group).cast("string"))), 1, 13), 16, 10).cast("double") / float(16**13)
     edges, total, p = [], 0.0, 0.36787944117144233
     for k in range(8):
         total += p

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from syllaweave.functions import course as C
 from syllaweave.operators import assemble as A, catalog as K, parse as P
+from syllaweave.plans import schedule_queries as S
 from syllaweave.plans.catalog_queries import CTE, enriched, versions
 from syllaweave.sources.tables import table
 
@@ -23,10 +24,18 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+_GENERIC = ", ".join(f"'{w}'" for w in A.GENERIC_SKILL_WORDS.split())
+_LEAD = f"(?i)^(?:{A.DETERMINERS[5:]}|{A.LEAD_VERB[5:]})+"
+_PHRASES = f"list_filter(list_transform(regexp_split_to_array(r, '{A.PHRASE_BREAK}'), lambda p: regexp_replace(regexp_replace(p, '^[^A-Za-z]+|[\\s\\xA0]+$', '', 'g'), '{_LEAD}', '')), lambda p: length(p) > 2 AND len(list_filter(regexp_extract_all(lower(p), '[a-z][a-z+\\-]*'), lambda w: w NOT IN ({_GENERIC}))) > 0)"
+JOBS = r"""jl AS (SELECT doc_id, trim(regexp_replace(unnest(regexp_split_to_array(coalesce(text, ''), '\r?\n')), '^\s*(?:[-*•]|\d+[.)])\s*', '')) AS x FROM documents WHERE doc_kind = 'job_description'),
+jk AS (SELECT * FROM jl WHERE x <> '' AND NOT regexp_matches(x, '(?i)^(?:role|responsibilities|requirements|synthetic sample|about|location|salary)\b') AND NOT ends_with(x, ':')),
+js AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(x, '([.;])\s+', '\1' || chr(31), 'g'), chr(31)))) AS r FROM jk), jr AS (SELECT * FROM js WHERE len(list_filter(regexp_split_to_array(r, '\s+'), lambda w: w <> '')) >= 5)""" + f", jp AS (SELECT doc_id, unnest({_PHRASES}) AS phrase FROM jr)"
+
+
+@query(f"WITH {JOBS} SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS n_jobs FROM jp GROUP BY 1")
 def mod_skill_phrases(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "documents").filter("doc_kind = 'job_description'").select("doc_id", F.explode(C.requirements(F.col("text"))).alias("r"))
-    return j.select("doc_id", F.explode(A.skill_phrases("r")).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_jobs"))
+    return j.select("doc_id", F.explode(A.skill_phrases(F.col("r"))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_jobs"))
 
 
 @query()
@@ -56,7 +65,12 @@ def _drafts(spark: SparkSession, d: str) -> DataFrame:
     return A.draft(view, shared)
 
 
-@query()
+_DRAFT = f"""{CTE}, du AS (SELECT programme, id, unnest(units) AS u FROM vw), dg AS (SELECT programme, u.text AS text, min(u.title) AS title, max(u.hours) AS hours, list_sort(list(DISTINCT id)) AS sources FROM du WHERE u.text <> '' GROUP BY ALL HAVING count(DISTINCT id) >= 2),
+dh AS (SELECT programme, count(*) AS n_units, sum(coalesce(hours, 6))::BIGINT AS total_hours FROM dg GROUP BY 1), dou AS (SELECT programme, count(DISTINCT text) AS n FROM (SELECT programme, unnest(outcomes).text AS text FROM vw) WHERE text IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"""WITH {_DRAFT}, dt AS (SELECT programme, regexp_replace(coalesce(prerequisites, ''), '\\(([^)]*\\d[^)]*)\\)', ' ', 'g') AS t FROM vw), dp AS (SELECT programme, count(DISTINCT p) AS n FROM (SELECT programme, unnest({S._SPLIT1}) AS p FROM dt) GROUP BY 1)
+SELECT programme, count(*) AS n_courses, max(ay) AS academic_year, any_value(coalesce(n_units, 0)) AS n_units, any_value(coalesce(total_hours, 0)) AS total_hours, any_value(least(4, coalesce(dou.n, 0))) AS n_outcomes, any_value(coalesce(dp.n, 0)) AS n_prerequisites, true AS traceable FROM vw LEFT JOIN dh USING (programme) LEFT JOIN dou USING (programme) LEFT JOIN dp USING (programme) GROUP BY 1""")
 def mod_build(spark: SparkSession, d: str) -> DataFrame:
     x = _drafts(spark, d)
     return x.select("programme", "n_courses", "academic_year", F.size(F.coalesce("units", F.array())).alias("n_units"), F.coalesce("total_hours", F.lit(0)).alias("total_hours"), F.size(F.coalesce("outcomes", F.array())).alias("n_outcomes"), F.size(F.coalesce("prerequisites", F.array())).alias("n_prerequisites"), A.traceable().alias("traceable"))
@@ -100,16 +114,25 @@ def smp_stratified(spark: SparkSession, d: str) -> DataFrame:
     return A.stratified(enriched(spark, d).select("ay", "id"), "ay", "id", 5)
 
 
-@query()
+_PW = r"list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\s+'), lambda w: w <> '')"
+_SH = "('0x' || substr(md5('42:' || (i - 1) || ':' || w), {0}, 6))::BIGINT / 16777216.0::DOUBLE"
+_SW = f"substr(w, 1, k - 1) || substr(w, k + 1, 1) || substr(w, k, 1) || substr(w, k + 2)"
+_WS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT doc_id, text, {_PW} AS ws FROM documents), t AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM d), h AS (SELECT *, {_SH.format(1)} AS a, (floor({_SH.format(7)} * (length(w) - 3)) + 2)::INT AS k FROM t),
+ty AS (SELECT doc_id, string_agg(CASE WHEN length(w) > 3 AND a < 0.05 THEN {_SW} ELSE w END, ' ' ORDER BY i) AS p FROM h GROUP BY 1), dr AS (SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE a >= 0.15), min(w) FILTER (WHERE i = 1)) AS p FROM h GROUP BY 1),
+al AS (SELECT 'typos' AS kind, d.doc_id, text, coalesce(p, '') AS p FROM d LEFT JOIN ty USING (doc_id) UNION ALL SELECT 'drop', d.doc_id, text, coalesce(p, '') FROM d LEFT JOIN dr USING (doc_id) UNION ALL SELECT 'truncate', doc_id, text, array_to_string(ws[1:greatest(1, floor(len(ws) * 0.5)::INT)], ' ') FROM d)
+SELECT kind, count(*) AS n, round(avg(len(list_intersect({_WS.format("coalesce(text, '')")}, {_WS.format('p')})) / greatest(1, len(list_distinct(list_concat({_WS.format("coalesce(text, '')")}, {_WS.format('p')}))))), 6) AS overlap FROM al GROUP BY 1""")
 def rob_perturbed(spark: SparkSession, d: str) -> DataFrame:
     """Mean word overlap of documents with their changed copies, for each kind of change."""
     from syllaweave.functions.text import jaccard, words_of
 
     x, out = table(spark, d, "documents").select("doc_id", "text").distinct(), None
     for kind, rate in (("typos", 0.05), ("drop", 0.15), ("truncate", 0.5)):
-        y = x.withColumn("p", A.perturb(kind, rate, 42)("text"))
+        y = x.withColumn("p", A.perturb(F.col("text"), kind, rate, 42))
         j = y.select(F.lit(kind).alias("kind"), jaccard(F.array_distinct(words_of(F.col("text"))), F.array_distinct(words_of(F.col("p")))).alias("j"))
-        g = j.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("j"), 4).alias("overlap"))
+        g = j.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("j"), 6).alias("overlap"))
         out = g if out is None else out.unionByName(g)
     return out
 
@@ -127,9 +150,15 @@ def prs_blocks(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("source").alias("id"), "course_key", F.size("units").alias("n_units"), F.length("objectives").alias("n_objectives"))
 
 
-@query()
+_SQ = "length(trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g')))"
+
+
+@query(f"""WITH {CTE}, s AS (SELECT id AS key, course_name AS h, objectives AS t FROM c UNION ALL SELECT id, u.title, u.text FROM (SELECT id, unnest(units) AS u FROM c))
+SELECT key, count(*) FILTER (WHERE {_SQ.format('h')} > 0 OR {_SQ.format('t')} > 0) AS sections, coalesce(sum({_SQ.format('t')}), 0)::BIGINT AS chars FROM s GROUP BY 1 HAVING sections > 0""")
 def prs_html(spark: SparkSession, d: str) -> DataFrame:
     """Course versions as web pages, cut into sections again."""
-    body = F.concat(F.lit("<nav>menu</nav><h1>"), F.coalesce("course_name", F.lit("")), F.lit("</h1><p>"), F.coalesce("objectives", F.lit("")), F.lit("</p>"), F.array_join(F.transform("units", lambda u: F.concat(F.lit("<h2>"), F.coalesce(u["title"], F.lit("")), F.lit("</h2><p>"), u["text"], F.lit("</p>"))), ""))
+    esc = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    units = F.array_join(F.transform(F.coalesce("units", F.array()), lambda u: F.concat(F.lit("<h2>"), esc(u["title"]), F.lit("</h2><p>"), esc(u["text"]), F.lit("</p>"))), "")
+    body = F.concat(F.lit("<nav>menu</nav><h1>"), esc(F.col("course_name")), F.lit("</h1><p>"), esc(F.col("objectives")), F.lit("</p>"), units)
     x = versions(spark, d).select("id", body.alias("html"))
     return P.html_sections(x, "id", "html").groupBy("key").agg(F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"))

@@ -84,9 +84,19 @@ def pre_removal_cases(spark: SparkSession, d: str) -> DataFrame:
     return P.removal_cases(_phrases(e, covered), e, first)
 
 
-@query()
+_MARKS2 = "regexp_replace({0}, '^[ .:\\-–]+|[ .:\\-–]+$', '', 'g')"
+_CODES = "list_filter(regexp_extract_all(t1, '\\b[A-Z0-9]{6,}\\b'), lambda w: regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Z]'))"
+_SIDES = f"list_transform(regexp_split_to_array(p, '\\band\\b|&|\\bas well as\\b|\\bor\\b'), lambda s: {_MARKS2.format('s')})"
+SPLIT2 = f"""s0 AS (SELECT id, regexp_replace(coalesce(prerequisites, ''), '\\([^)]*\\)?', ' ', 'g') AS t1 FROM c), s1 AS (SELECT id, CASE WHEN len({_CODES}) > 0 THEN regexp_replace(t1, '\\b(?:' || array_to_string({_CODES}, '|') || ')\\b', ' ', 'g') ELSE t1 END AS t FROM s0),
+s2 AS (SELECT id, list_transform(regexp_split_to_array(t, '[;,\\n/]'), lambda p: regexp_replace({_MARKS2.format("trim(regexp_replace(p, '\\s+', ' ', 'g'))")}, '{rules.LEAD_IN}', '')) AS ps FROM s1 WHERE NOT (trim(t) = '' OR regexp_matches(trim(t), '{_NONE}'))),
+s3 AS (SELECT id, list_transform(flatten(list_transform(ps, lambda p: CASE WHEN len({_SIDES}) > 1 AND len(list_filter({_SIDES}, lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) < 2)) = 0 THEN {_SIDES} ELSE [p] END)), lambda q: regexp_replace(q, '{rules.LEAD_IN}', '')) AS qs FROM s2),
+s4 AS (SELECT id, 0 AS k, qs, []::VARCHAR[] AS out FROM s3 UNION ALL SELECT id, k + 1, qs, list_concat(out, CASE WHEN len(out) > 0 AND regexp_matches(qs[k + 1], '{rules.PART_NUMBERS}') THEN list_transform(regexp_extract_all(qs[k + 1], '{rules.PART_NUMBER}'), lambda n: regexp_replace(out[-1], '{rules.PART_NUMBER_AT_END}', '') || ' - ' || upper(n)) WHEN length(qs[k + 1]) > 2 AND length(qs[k + 1]) <= 90 AND NOT regexp_matches(qs[k + 1], '{_NONE}') THEN [qs[k + 1]] ELSE [] END) FROM s4 WHERE k < len(qs)),
+s5 AS (SELECT id, out FROM s4 WHERE k = len(qs)), s6 AS (SELECT id, unnest(out) AS phrase, generate_subscripts(out, 1) AS i FROM s5), s7 AS (SELECT id, phrase, min(i) AS i FROM s6 GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {CTE}, {SPLIT2} SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, phrase FROM s7")
 def pre_split_v2(spark: SparkSession, d: str) -> DataFrame:
-    return versions(spark, d).select("id", F.posexplode(C.split_prerequisites_v2(F.col("prerequisites"))).alias("pos", "phrase"))
+    return versions(spark, d).select("id", F.posexplode(C.split_prerequisites_v2(F.col("prerequisites"))).alias("pos", "phrase")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query()
@@ -131,7 +141,13 @@ def dif_score(spark: SparkSession, d: str) -> DataFrame:
     return D.score(D.by_name(s, p), D.true_changes(s, p)).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
-@query()
+_GREEDY = f"""wv AS (SELECT id, list_distinct(regexp_extract_all(lower(concat_ws(' ', coalesce(objectives, ''), array_to_string(list_transform(outcomes, lambda o: o.text), ' '), array_to_string(list_transform(units, lambda u: u.text), ' '))), '[a-z]{{4,}}')) AS ws FROM c),
+sw AS (SELECT programme, ay, family, ws FROM sn JOIN wv USING (id)), ra AS (SELECT dn.programme, dn.ay, dn.next_ay, family_a AS a, ws FROM dn JOIN sw ON sw.programme = dn.programme AND sw.ay = dn.ay AND sw.family = family_a WHERE change = 'removed'), rb AS (SELECT dn.programme, dn.ay, dn.next_ay, family_b AS b, ws FROM dn JOIN sw ON sw.programme = dn.programme AND sw.ay = dn.next_ay AND sw.family = family_b WHERE change = 'added'),
+rc AS (SELECT programme, ay, next_ay, a, b, len(list_intersect(ra.ws, rb.ws)) / len(list_distinct(list_concat(ra.ws, rb.ws))) AS s FROM ra JOIN rb USING (programme, ay, next_ay) WHERE len(list_intersect(ra.ws, rb.ws)) > 0), rk2 AS (SELECT *, row_number() OVER (PARTITION BY programme, ay, next_ay ORDER BY s DESC, a DESC, b DESC) AS k FROM rc WHERE s >= 0.05),
+gm AS (SELECT DISTINCT programme, ay, next_ay, 0::BIGINT AS k, []::VARCHAR[] AS ua, []::VARCHAR[] AS ub, NULL::DOUBLE AS s FROM rk2 UNION ALL SELECT gm.programme, gm.ay, gm.next_ay, r.k, CASE WHEN list_contains(ua, r.a) OR list_contains(ub, r.b) THEN ua ELSE list_append(ua, r.a) END, CASE WHEN list_contains(ua, r.a) OR list_contains(ub, r.b) THEN ub ELSE list_append(ub, r.b) END, CASE WHEN list_contains(ua, r.a) OR list_contains(ub, r.b) THEN NULL ELSE r.s END FROM gm JOIN rk2 r ON r.programme = gm.programme AND r.ay = gm.ay AND r.next_ay = gm.next_ay AND r.k = gm.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {DIF}, {_GREEDY} SELECT programme, ay, next_ay, ua[-1] AS a, ub[-1] AS b, round(s, 6) AS s FROM gm WHERE s IS NOT NULL")
 def dif_by_content(spark: SparkSession, d: str) -> DataFrame:
     """Removed and added courses of two years matched one to one where a twentieth of their words agrees."""
     s, p = _snapshots(spark, d)
@@ -145,7 +161,7 @@ def dif_by_content(spark: SparkSession, d: str) -> DataFrame:
     meet = a.select(*by, "a", F.explode("wa").alias("w")).join(b.select(*by, "b", F.explode("wb").alias("w")), [*by, "w"]).groupBy(*by, "a", "b").agg(F.count("*").alias("common"))
     n = meet.join(a.select(*by, "a", F.size("wa").alias("na")), [*by, "a"]).join(b.select(*by, "b", F.size("wb").alias("nb")), [*by, "b"])
     cand = n.withColumn("s", F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).filter("s >= 0.05")
-    return D.greedy_match(cand, by, "programme string, ay string, next_ay string, a string, b string, s double")
+    return D.greedy_match(cand, by, "programme string, ay string, next_ay string, a string, b string, s double").withColumn("s", F.round("s", 6))
 
 
 _LV = "MAP {" + ", ".join(f"'{v}': {k}" for v, k in rules.VERB_LEVEL.items()) + "}"
@@ -257,15 +273,21 @@ def evl_rank_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.select("n", *(F.round(c, 6).alias(c) for c in ("mrr", "r1", "r5", "r10", "ndcg")))
 
 
-@query()
+_EDGES = [round(x, 15) for x in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)]
+_BOOT = f"""pg AS (SELECT source, sum(v)::DOUBLE AS s, count(v) AS c FROM bx GROUP BY 1), rp AS (SELECT rep, s, c, ('0x' || substr(md5('42:' || rep || ':' || source), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM pg, (SELECT unnest(range(1, 1001)) AS rep)),
+rm AS (SELECT rep, sum(w * s) / nullif(sum(w * c), 0) AS m FROM (SELECT *, {' + '.join(f'(u >= {x})::INT' for x in _EDGES)} AS w FROM rp) GROUP BY 1), bo AS (SELECT (SELECT sum(s) / sum(c) FROM pg) AS value, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM rm)"""
+
+
+@query(f"WITH {LAB}, bx AS (SELECT source, y::INT::DOUBLE AS v FROM d0 WHERE source IS NOT NULL), {_BOOT} SELECT round(value, 6) AS value, round(low, 6) AS low, round(high, 6) AS high FROM bo")
 def evl_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return M.bootstrap_mean(_labelled(spark, d).withColumn("v", F.col("y").cast("double")), "v", "source")
+    b = M.bootstrap_mean(_labelled(spark, d).filter("source is not null").withColumn("v", F.col("y").cast("double")), "v", "source")
+    return b.select(*(F.round(c, 6).alias(c) for c in ("value", "low", "high")))
 
 
-@query()
+@query(f"WITH {LAB}, bx AS (SELECT source, s / (s + 1000) - 0.5::DOUBLE AS v FROM d0 WHERE source IS NOT NULL), {_BOOT} SELECT round(value, 6) AS value, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN low > 0 THEN 'improved' WHEN high < 0 THEN 'worse' ELSE 'no clear difference' END AS verdict FROM bo")
 def evl_paired(spark: SparkSession, d: str) -> DataFrame:
-    x = _labelled(spark, d).select("source", F.lit(0.5).alias("base"), (F.col("s") / (F.col("s") + 1000)).alias("new"))
-    return M.paired_difference(x, "base", "new", "source")
+    x = _labelled(spark, d).filter("source is not null").select("source", F.lit(0.5).alias("base"), (F.col("s") / (F.col("s") + 1000)).alias("new"))
+    return M.paired_difference(x, "base", "new", "source").select(*(F.round(c, 6).alias(c) for c in ("value", "low", "high")), "verdict")
 
 
 def _vote(c: str) -> F.Column:

@@ -176,9 +176,9 @@ def test_linkage_and_perturbation(spark):
     v = np.array([[1, 0], [0.99, 0.1], [0, 1.0]])
     assert A.average_linkage(v / np.linalg.norm(v, axis=1, keepdims=True), 0.9).tolist() == [0, 0, 1]
     df = spark.createDataFrame([("a b c d e f g h i j",), (None,)], "t string")
-    assert [r[0] for r in df.select(A.perturb("truncate", 0.5, 1)("t")).collect()] == ["a b c d e", ""]
+    assert [r[0] for r in df.select(A.perturb(F.col("t"), "truncate", 0.5, 1)).collect()] == ["a b c d e", ""]
     with pytest.raises(ValueError):
-        A.perturb("x", 0.1, 1)
+        A.perturb(F.col("t"), "x", 0.1, 1)
 
 
 def test_rouge(spark):

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from syllaweave.api import Engine
@@ -32,19 +34,42 @@ def test_answers(spark, tmp_path):
     e = Engine(corpus(spark, tmp_path), tau=0.5, least_versions=1, least_families=1)
     assert e.health().first().courses == 11
     a, b = e.resolve(name="Deep Learning"), e.resolve(id="nmfx000000")
-    common = [r.topic_a for r in e.compare_courses(a, b).filter("common").collect()]
-    assert common == ["Regression"]
+    c = e.compare_courses(a, b).first()
+    assert [t.topic for t in c.common_topics] == ["Regression"] and c.percent == "50%" and 0 < c.confidence < 1 and not c.redundancy_warning
+    assert [t.topic for t in c.unique_to_a] == ["Deep Learning"] and c.outcomes_a[0].level == "Understand" and c.prerequisites_a == []
+    t = e.resolve(text="Alpha beta gamma delta.\n\nlinear regression, ridge regression and gradient descent for prediction", programme="COMP")
+    assert t.first().programmes == ["COMP"] and e.compare_courses(t, b).first().common_topics[0].match == "Regression"
     assert e.find_overlaps(a, 3).first().course_name == "Machine Learning"
+    for bad in ({}, {"id": "a", "name": "b"}):
+        with pytest.raises(ValueError):
+            e.resolve(**bad)
+    with pytest.raises(ValueError, match="COMP"):
+        e.detect_redundancy("NONE")
     assert [r.change for r in e.compare_programmes("COMP", "2024-25", "2025-26").filter("change = 'retained'").collect()] == ["retained"]
+    assert e.compare_programmes("COMP").filter("change <> 'retained'").count() == 0
     assert {r.phrase for r in e.check_prerequisites("COMP").collect()} == {"Quantum Field Theory"}
     assert {r.phrase for r in e.check_prerequisites("COMP", rules=1).collect()} == {"Quantum Field Theory"}
+    assert {r.course_name: r.status for r in e.check_status("COMP").collect()}["Calculus"] == "first or unknown semester"
     red = e.detect_redundancy("COMP").collect()
-    assert len(red) == 1 and red[0].similarity == 1.0
+    assert len(red) == 1 and red[0].similarity == 1.0 and {red[0].course_a, red[0].course_b} == {"Machine Learning", "Deep Learning"}
     t = spark.createDataFrame([("Regression", "linear regression prediction", ["COMP"], True), ("Blockchain", "ledgers", ["COMP"], True)], "topic string, description string, programmes array<string>, verified boolean")
-    assert {r.topic: r.covered for r in e.emerging_topics(t).collect()} == {"Regression": True, "Blockchain": False}
+    assert {r.topic: r.covered for r in e.emerging_topics(t, "COMP").collect()} == {"Regression": True, "Blockchain": False}
     assert [r.bloom for r in e.map_outcomes(spark.createDataFrame([("Explain the layers",), ("Design a schema",), ("Hm",)], "text string")).collect()] == ["Understand", "Create", "Apply"]
     d = e.modernize(["nmfx000000", "nmfx000001"]).first()
     assert d.n_courses == 2 and any(u.sources == ["nmfx000000", "nmfx000001"] for u in d.units)
+    jobs = spark.createDataFrame([("J1", "- Build and monitor vector search pipelines with gradient descent and Docker containers.\n"), ("J2", "- Deploy vector search pipelines, gradient descent and Docker containers in large teams.\n")], "job string, text string")
+    draft = e.modernize(["nmfx000000", "nmfx000001"], jobs)
+    d = draft.first()
+    new = [u for u in d.units if u.sources == ["J1", "J2"]]
+    assert len(new) == 1 and new[0].title == "Vector search pipelines" and d.lab_environment == ["Docker containers"] and any(u.title == "Regression" for u in d.units)
+    p = e.passages(draft)
+    assert p.filter("size(split(text, ' ')) > 100").count() == 0 and p.first().chunk_id == "C0000"
+    q = spark.createDataFrame([(1, "Which pipelines does the industry require?")], "q int, question string")
+    assert "pipelines" in e.ask(p, q).first().answer
+    assert e.notice(draft, "Applied AI").first().doc_id == "curriculum-applied-ai-2025-26"
+    for bad in (["a"], list("abcdefghijk")):
+        with pytest.raises(ValueError):
+            e.modernize(bad)
     assert e.list_courses(q="learning", limit=2).count() == 2
     assert len(e.answer(e.health())) == 1
 
