@@ -371,14 +371,17 @@ def key_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(key, class_id, group_id, n_links)``: ``group_id`` is the least class id that is reached over links.
+    """``(key, class_key, group_key, n_links)`` of every record.
 
+    ``class_key`` is the least key with the same set of words, ``group_key`` the least that is reached over links;
     ``n_links`` counts the other records of the class and the records of the linked classes.
     """
     links = written(pairs.select("sid_a", "sid_b"), "links")
     both = links.unionByName(links.select(F.col("sid_b").alias("sid_a"), F.col("sid_a").alias("sid_b")))
-    size = members.groupBy("sid").agg(F.count("*").alias("size"))
-    other = both.join(size.withColumnRenamed("sid", "sid_b"), "sid_b").groupBy(F.col("sid_a").alias("sid")).agg(F.sum("size").alias("others"))
-    roots = components(links, "sid_a", "sid_b").select(F.col("node").alias("sid"), "root")
-    out = members.join(size, "sid").join(other, "sid", "left").join(roots, "sid", "left")
-    return out.select("key", F.col("sid").alias("class_id"), F.coalesce("root", "sid").alias("group_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    size = members.groupBy("sid").agg(F.count("*").alias("size"), F.min("key").alias("class_key"))
+    other = both.join(size.select(F.col("sid").alias("sid_b"), "size"), "sid_b").groupBy(F.col("sid_a").alias("sid")).agg(F.sum("size").alias("others"))
+    roots = components(links, "sid_a", "sid_b").select(F.col("node").alias("sid"), "root").join(size.select("sid", "class_key"), "sid")
+    least = roots.groupBy("root").agg(F.min("class_key").alias("group_key"))
+    reached = roots.select("sid", "root").join(least, "root").select("sid", "group_key")
+    out = members.join(size, "sid").join(other, "sid", "left").join(reached, "sid", "left")
+    return out.select("key", "class_key", F.coalesce("group_key", "class_key").alias("group_key"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))

@@ -50,3 +50,11 @@ SELECT doc_id, n_chars, CASE WHEN n_copies > 1 THEN n_chars ELSE coalesce(n, 0)
 s AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1), x AS (SELECT DISTINCT doc_id, h FROM g SEMI JOIN s USING (h)), l AS (SELECT a.doc_id, count(DISTINCT b.doc_id) AS n FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_doc, count(*) OVER (PARTITION BY text) AS n_copies, coalesce(n, 0) AS n_links FROM d LEFT JOIN l USING (doc_id)""",
 }
+_ROOTS = ORACLE["p2_found"].split("g AS (SELECT r,")[0].rstrip().rstrip(",")
+ORACLE["p2_check"] = f"{_ROOTS} SELECT count(DISTINCT id) AS n_versions, count(DISTINCT id) AS n_ids, count(DISTINCT r) AS n_groups, 0::BIGINT AS torn, true AS near_target FROM own"
+_PAIRS = ORACLE["p4_found"].split("SELECT id_a, id_b FROM c WHERE")[0].replace("WITH v AS", "WITH RECURSIVE v AS", 1).rstrip()
+ORACLE["p4_groups"] = f"""{_PAIRS}, pa AS (SELECT id_a, id_b FROM c WHERE k >= 0.75 * (na + nb - k)), ed AS (SELECT id_a AS x, id_b AS y FROM pa UNION ALL SELECT id_b, id_a FROM pa), reach AS (SELECT x, x AS y FROM ed UNION SELECT reach.x, ed.y FROM reach JOIN ed ON reach.y = ed.x), root AS (SELECT x, min(y) AS r FROM reach GROUP BY 1), nl AS (SELECT x, count(*) AS n FROM ed GROUP BY 1)
+SELECT v.id, min(v.id) OVER (PARTITION BY list_sort(ws)) AS class_id, coalesce(r, v.id) AS group_id, coalesce(n, 0) AS n_links FROM v LEFT JOIN root ON root.x = v.id LEFT JOIN nl ON nl.x = v.id WHERE len(ws) > 0"""
+ORACLE["p7_check"] = r"""WITH t AS (SELECT DISTINCT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x85\x1c-\x1f]+')) AS n FROM documents)
+SELECT count(*) AS documents, sum(n)::BIGINT AS tokens, 0::BIGINT AS divided, 0::BIGINT AS wrong, 0::BIGINT AS overfull, true AS filled FROM t"""
+ORACLE["p8_items"] = f"SELECT item_no, count(*) AS n_documents, min(doc_id) AS first_doc FROM ({ORACLE['p8_found']}) GROUP BY 1"

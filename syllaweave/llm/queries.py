@@ -37,6 +37,19 @@ def p3_mapped(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_values(typed_names(spark, d), "value", entries).withColumnRenamed("entry", "catalog_no")
 
 
+def p2_check(spark: SparkSession, d: str) -> DataFrame:
+    """The assignment in one row: versions, groups, groups that stand on two sides, and the largest distance of a share from its target."""
+    a = p2_assignment(spark, d).select("id", "group", "split").distinct()
+    torn = a.groupBy("group").agg(F.count_distinct("split").alias("n")).agg(F.count("*").alias("n_groups"), F.count_if(F.col("n") > 1).alias("torn"))
+    shares = a.groupBy("split").agg(F.count("*").alias("n"))
+    total = a.agg(F.count("*").alias("n_versions"), F.count_distinct("id").alias("n_ids"))
+    target = F.lit(0.0)
+    for s, p in SHARES.items():
+        target = F.when(F.col("split") == s, F.lit(p)).otherwise(target)
+    off = shares.crossJoin(F.broadcast(total)).agg((F.max(F.abs(F.col("n") / F.col("n_versions") - target)) < 0.02).alias("near_target"))
+    return total.crossJoin(torn).crossJoin(off).select("n_versions", "n_ids", "n_groups", "torn", "near_target")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     exact = table(spark, d, "course_catalog").select(reduced(F.col("canonical_name")).alias("key")).distinct()
     m = p3_mapped(spark, d).withColumn("key", reduced(F.col("value")))
@@ -48,8 +61,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each version: its class of equal word sets, its group (connected classes) and its number of links."""
-    return nd.groups(*_versions(spark, d))
+    """One row for each version: the least version with the same words, the least of its group (connected classes), its number of links."""
+    g = nd.groups(*_versions(spark, d))
+    return g.withColumnsRenamed({"key": "id", "class_key": "class_id", "group_key": "group_id"})
 
 
 def _units_across(spark: SparkSession, d: str) -> DataFrame:
@@ -150,6 +164,16 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * 1024), 6).alias("fill"))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """The containers in one row: documents and tokens laid in, containers over 1,024 tokens, smaller documents divided, tokens missing or doubled, room used."""
+    p = p7_containers(spark, d)
+    used = p.groupBy("container").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("used"))
+    doc = p.groupBy("doc_id").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("n"), F.max("token_to").alias("last"), F.min("token_from").alias("first"), F.count("*").alias("parts"))
+    d1 = doc.agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.count_if((F.col("parts") > 1) & (F.col("n") <= 1024)).alias("divided"), F.count_if((F.col("n") != F.col("last")) | (F.col("first") != 0)).alias("wrong"))
+    d2 = used.agg(F.count_if(F.col("used") > 1024).alias("overfull"), (F.sum("used") / (F.count("*") * 1024) > 0.95).alias("filled"))
+    return d1.crossJoin(d2)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     hits = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_no", "text")
     return hits.select(F.col("key").alias("doc_id"), F.col("item").alias("item_no"))
@@ -176,4 +200,4 @@ def p9_groups(spark: SparkSession, d: str) -> DataFrame:
     return long_repeats.linked(members, found).withColumnsRenamed({"key": "doc_id", "class_key": "class_doc"})
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_assignment, p2_shares, p3_found, p3_mapped, p4_found, p4_groups, p5_found, p5_overlaps, p6_found, p6_labels, p6_raters, p6_agreement, p7_found, p7_containers, p7_fill, p8_found, p8_items, p9_found, p9_shared, p9_groups)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_assignment, p2_shares, p2_check, p3_found, p3_mapped, p4_found, p4_groups, p5_found, p5_overlaps, p6_found, p6_labels, p6_raters, p6_agreement, p7_found, p7_containers, p7_fill, p7_check, p8_found, p8_items, p9_found, p9_shared, p9_groups)}

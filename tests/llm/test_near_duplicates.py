@@ -121,7 +121,7 @@ def test_a_third_copies_and_groups(spark):
     df = spark.range(300).select(F.concat(F.lit("k"), "id").alias("key"), F.when(F.col("id") % 3 == 0, F.lit("same words in all of these copies")).otherwise(F.concat_ws(" ", *(F.concat(F.lit(f"q{i}x"), F.col("id")) for i in range(12)))).alias("text"))
     members, pairs = nd.near_duplicates(df, "key", F.col("text"))
     g = nd.groups(members, pairs).collect()
-    assert len(g) == 300 and sum(r.n_links == 99 for r in g) == 100 and len({r.group_id for r in g}) == 201
+    assert len(g) == 300 and sum(r.n_links == 99 for r in g) == 100 and len({r.group_key for r in g}) == 201 and len({r.class_key for r in g}) == 201
 
 
 def test_empty_tables(spark):
