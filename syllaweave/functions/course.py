@@ -251,3 +251,10 @@ def course_references(text: Column, own: Column) -> Column:
     """Sorted distinct course numbers that a text names, without its own."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rules.COURSE_REFERENCE), F.lit(0))
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: ~x.eqNullSafe(own))))
+
+
+def phrase_tokens(phrase: Column) -> Column:
+    """Distinct words of a phrase, Roman numerals as digits."""
+    numerals = F.array(*(F.lit(r.lower()) for r in rules.ROMAN))
+    words = F.regexp_extract_all(F.lower(F.coalesce(phrase, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_distinct(F.transform(words, lambda w: F.when(F.array_contains(numerals, w), F.array_position(numerals, w).cast("string")).otherwise(w)))

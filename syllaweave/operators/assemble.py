@@ -215,6 +215,29 @@ def unsupported_rate(summary: Column, source: Column) -> Column:
     return F.size(F.array_except(w, words_of(source))) / F.greatest(F.size(w), F.lit(1))
 
 
+def supported(summary: Column, source: Column, most: float = 0.2) -> Column:
+    """A summary with text, at most the share ``most`` of words that its source lacks, and only percentages that the source names."""
+    percents = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d+(?:\.\d+)?\s?%"), F.lit(0))
+    return (unsupported_rate(summary, source) <= most) & (F.coalesce(summary, F.lit("")) != "") & (F.size(F.array_except(percents(summary), percents(source))) == 0)
+
+
+def central(df: DataFrame, key: str, pos: str, text: str, n: int) -> DataFrame:
+    """``(key, summary)``: the ``n`` texts of each key closest to their mean vector (hashed terms), in their order.
+
+    Texts without terms aren't chosen; a key without any gives no row. Ties go to the earlier text.
+    """
+    from syllaweave.operators.lexical import counts, hashed_vectors
+
+    x = df.withColumn("_u", F.struct(key, pos))
+    v = hashed_vectors(counts(x, ["_u"], F.col(text)), "_u").select(F.col(f"_u.{key}").alias(key), F.col(f"_u.{pos}").alias(pos), "dim", "v")
+    size = v.groupBy(key).agg(F.count_distinct(pos).alias("_n"))
+    mean = v.join(size, key).groupBy(key, "dim").agg((F.sum("v") / F.max("_n")).alias("m"))
+    s = v.join(mean, [key, "dim"]).groupBy(key, pos).agg(F.round(F.sum(F.col("v") * F.col("m")), 9).alias("s"))
+    w = Window.partitionBy(key).orderBy(F.desc("s"), pos)
+    top = s.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).select(key, pos).join(df.select(key, pos, text), [key, pos])
+    return top.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, text))), lambda t: t[text]), " ").alias("summary"))
+
+
 def perturb(text: Column, kind: str, rate: float, seed: int) -> Column:
     """A seeded change of a text: ``typos`` (neighbours swapped), ``drop`` (words left out) or ``truncate`` (the first part kept).
 

@@ -66,6 +66,17 @@ def answers(passages: DataFrame, key: str, text: str, questions: DataFrame, ques
     return x.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(question, key, "pos", "sentence", "score")
 
 
+def search(mode: str, keyword: Callable[[], DataFrame], vector: Callable[[], DataFrame], query: str, doc: str) -> DataFrame:
+    """Ranked documents by ``keyword``, by ``vector``, or by the fusion of both rankings (``hybrid``); only what is asked for is computed."""
+    from syllaweave.operators.lexical import fuse, top
+
+    if mode not in ("keyword", "vector", "hybrid"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode != "hybrid":
+        return keyword() if mode == "keyword" else vector()
+    return top(fuse([keyword(), vector()], query, doc).withColumn("score", F.round("score", 9)), query, doc, 10)
+
+
 def rerank(hits: DataFrame, query: str, doc: str, score: Callable[[DataFrame], DataFrame], k: int = 10) -> DataFrame:
     """The first ``k`` hits of each query in the order of a second score: ``score`` adds ``sim`` to ``(query, doc, ...)``."""
     w = Window.partitionBy(query).orderBy(F.desc("sim"), "rank", doc)
