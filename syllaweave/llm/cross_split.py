@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from syllaweave.llm import batch as B
 from syllaweave.llm.batch import U
 from syllaweave.llm.near_duplicates import verified
-from syllaweave.session import written
+from syllaweave.session import small, written
 
 SEEDS, DIVISOR, LEAST_WORDS, HOT = (1, 2, 3), 2, 3, 256
 #: One minimum more in a band for each factor RARE of records; unrelated units agree in a minimum once in about 26 times.
@@ -158,11 +158,16 @@ def cross_split(records: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     """
     made = written(records.select(F.col("id").cast("string"), F.col("unit").cast("bigint"), F.col("train").cast("boolean"), F.col("text")).mapInArrow(make_records, RECORDS), "records")
     bodies = made.filter("words is not null")
-    source = bodies.select("sid", "train", "words")
-    flat = source.mapInArrow(_digests, "digest bigint, sid bigint, info int")
+    # candidates come from one record of each class and side: only rows of repeated classes meet a join
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    own = bodies.select("sid", "train", "words", at.alias("at"))
+    kept = own.groupBy("sid", "train").agg(F.min("at").alias("kept"), F.count("*").alias("c")).filter("c > 1").select("sid", "train", "kept")
+    source = own.join(small(kept), ["sid", "train"], "left").filter("kept is null or at = kept").select("sid", "train", "words")
+    # a digest's rows are distinct before they are counted, by the same exchange
+    flat = source.mapInArrow(_digests, "digest bigint, sid bigint, info int").repartition("digest").distinct()
     by, side = Window.partitionBy("digest"), F.col("info").bitwiseAND(F.lit(1))
     both = flat.withColumn("rows", F.count("*").over(by)).withColumn("some", F.max(side).over(by)).withColumn("every", F.min(side).over(by)).filter("some > every")
-    usable = written(both.filter(F.col("rows") <= HOT).select("digest", "sid", (side == 1).alias("train"), F.shiftright("info", 1).alias("len")).distinct(), "digests")
+    usable = written(both.filter(F.col("rows") <= HOT).select("digest", "sid", (side == 1).alias("train"), F.shiftright("info", 1).alias("len")), "digests")
     a, b = usable.filter("train").select("digest", "len", F.col("sid").alias("sid_a")), usable.filter("not train").select("digest", F.col("sid").alias("sid_b"))
     chunked = a.join(b, "digest").filter("sid_a <> sid_b").groupBy("sid_a", "sid_b").agg(F.sum("len").alias("words")).filter(F.col("words") > LEAST_WORDS).select("sid_a", "sid_b")
     keys = _minima(*bands(threshold, made.count()))

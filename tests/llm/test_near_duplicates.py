@@ -255,3 +255,30 @@ def test_equal_spans_get_equal_names():
     total = batch.running(batch.values(t + [t[0]], b))
     sym, _, doc, _ = lr.recompress(b, at, total)
     assert (sym[doc == 0] == sym[doc == 2]).all() and not set(sym[doc == 0]) & set(sym[doc == 1])
+
+
+def test_cross_split_one_edit_in_short_records(spark):
+    """Records of 4 to 30 words with one word replaced, left out or added: all at the threshold or above are found."""
+    rng = random.Random(21)
+    rows, want = [], set()
+    for k in range(700):
+        n = 4 + k % 27
+        a = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        b = list(a)
+        i = rng.randrange(n)
+        b[i : i + 1] = {0: [f"e{k}"], 1: [], 2: [a[i], f"e{k}"]}[k % 3]
+        rows += [(f"a{k:03d}", 1, True, " ".join(a)), (f"b{k:03d}", 1, False, " ".join(b))]
+        if jac(set(a), set(b)) >= 0.75:
+            want.add((f"a{k:03d}", f"b{k:03d}"))
+    df = spark.createDataFrame(rows, "id string, unit long, train boolean, text string").repartition(5)
+    got = cs.record_pairs(*cs.cross_split(df, 0.75)).collect()
+    assert {(r.train_id, r.id) for r in got} >= want and len(want) > 500
+    assert all(0 <= r.fraction <= 1 for r in got)
+
+
+def test_cross_split_of_one_text_in_many_batches(spark):
+    """A text that a third of the records carry is one class on each side, whatever partitions it comes in."""
+    rows = [(f"v{i:04d}", 1, i % 2 == 0, "one two three four five six seven eight" if i % 3 == 0 else f"text number {i} with words{i} of{i} its{i} own{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, unit long, train boolean, text string").repartition(40)
+    members, found = cs.cross_split(df, 0.75)
+    assert found.count() == 1 and cs.record_pairs(members, found).count() == 100 * 100
