@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from syllaweave.operators.lexical import counts, hashed_vectors
 from syllaweave.plans.catalog_queries import CTE, versions
-from syllaweave.session import shared_dir
+from syllaweave.session import stage_folder
 from syllaweave.sources import files as S
 from syllaweave.sources.tables import table
 
@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def _at(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {CTE} SELECT id, course_name, credits, len(units) AS n_units, array_to_string(list_transform(outcomes, lambda o: len(o.k_levels)::VARCHAR), ';') AS levels, n_source_files FROM c")

@@ -29,10 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """The folder of this application's stage tables in the shared folder; it is removed when the application ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/stages-{sc.applicationId}"
+    if getattr(sc, "_syllaweave_stages", None) != path:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        sc._syllaweave_stages = path
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
