@@ -12,8 +12,9 @@ word frequencies.
 
 Words that stand together (a notice that a third of the records carry) make a bucket larger than its path predicts. The
 records of a bucket over LARGE are split further, on their rarest words: two sets at the threshold or above share one of
-the ``n - ceil(threshold * n) + 1`` rarest words of each, so these buckets lose nothing. What is still over LARGE is
-compared as pairs of blocks of that size, spread over tasks.
+the ``n - ceil(threshold * n) + 1`` rarest words of each, so these buckets lose nothing. What is still over LARGE, and any
+bucket in which more than DENSE pairs a record have close sketches (records that are alike, but not alike enough), is
+compared exactly: as pairs of blocks of BLOCK records, spread over tasks, by products of their word matrices.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ from syllaweave.llm.batch import U
 from syllaweave.operators.graph import components
 from syllaweave.session import BROADCAST_KEYS, small, written
 
-SET_SCHEMA = "key string, sid bigint, n int, s1 bigint, s2 bigint, tokens array<int>"
+#: Words of a sketch.
+SKETCH = ["s1", "s2"]
+_KINDS = ", ".join(f"{c} bigint" for c in SKETCH)
+SET_SCHEMA = f"key string, sid bigint, n int, {_KINDS}, tokens array<int>"
 #: A token's frequency is counted from this share of the records on, or from the share that FREQUENT tokens can reach.
 HEAVY, FREQUENT = 1 / 1000, 100_000
 MAX_DEPTH = 9
@@ -38,23 +42,21 @@ MAX_DEPTH = 9
 RECALL = 0.9995
 #: Records that a bucket is expected to hold at the end of a path, and that it may hold before it is split further.
 BUCKET, LARGE = 2_048, 8_192
+#: Pairs with close sketches for each record of a bucket, beyond which it is compared exactly; records in a block; bucket size that is compared by itself.
+DENSE, BLOCK, WIDE = 32, 1_024, 256
 
 
 def _sketch(doc: np.ndarray, h: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """64 one-bit minima: words fall into 64 bins, and each bin gives a bit of its least hash."""
+    """128 one-bit minima as two words: a set's tokens fall into 128 bins, and each bin gives a bit of its least hash."""
     v = B.mix(h ^ U(seed))
-    cell = doc * 64 + (v >> U(58)).astype(np.int64)
+    cell = doc * 128 + (v >> U(57)).astype(np.int64)
     order = np.lexsort((v, cell))
     c, x = cell[order], v[order]
     first = np.ones(len(c), bool)
     first[1:] = c[1:] != c[:-1]
-    bits = np.zeros(n * 64, U)
+    bits = np.zeros(n * 128, U)
     bits[c[first]] = B.mix(x[first]) & U(1)
-    return (bits.reshape(n, 64) << np.arange(64, dtype=U)).sum(axis=1, dtype=U)
-
-
-def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+    return (bits.reshape(n, 2, 64) << np.arange(64, dtype=U)).sum(axis=2, dtype=U)
 
 
 def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +78,9 @@ def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = (h >> U(32)).astype(np.uint32).view(np.int32)[new[doc]]
             offsets = np.concatenate([[0], np.cumsum(np.where(new, size, 0)[some])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()), mask=pa.array(~new[some]))
-            cols = [keys.take(pa.array(some + lo)), pa.array(sid[some]), pa.array(size[some].astype(np.int32)), *(pa.array(_sketch(doc, h, n, seed).view(np.int64)[some]) for seed in (0x1234567, 0x89ABCDE)), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "sid", "n", "s1", "s2", "tokens"])
+            words = _sketch(doc, h, n, 0x1234567).view(np.int64)[some]
+            cols = [keys.take(pa.array(some + lo)), pa.array(sid[some]), pa.array(size[some].astype(np.int32)), *(pa.array(w) for w in words.T), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "sid", "n", *SKETCH, "tokens"])
 
 
 def word_sets(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -146,17 +149,17 @@ def _token_hash(tokens: np.ndarray) -> np.ndarray:
     return B.mix(tokens.view(np.uint32).astype(U) + U(0x51ED270B))
 
 
-ROWS = "path bigint, sid bigint, s1 bigint, s2 bigint"
+ROWS = f"path bigint, sid bigint, {_KINDS}"
 
 
 def paths(heavy: np.ndarray, logs: np.ndarray, floor: float, n_records: int, threshold: float, runs: int, bucket: int):
-    """A function for ``mapInArrow``: (sid, n, s1, s2, tokens) to ROWS, a row for each path that ends."""
+    """A function for ``mapInArrow``: (sid, n, SKETCH, tokens) to ROWS, a row for each path that ends."""
     stop = math.log(bucket / max(n_records, 1))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            sid, n, s1, s2 = (rb.column(i).to_numpy() for i in range(4))
-            offsets, tokens = rb.column(4).offsets.to_numpy(), rb.column(4).values.to_numpy()
+            sid, n, *sketch = (rb.column(i).to_numpy() for i in range(2 + len(SKETCH)))
+            offsets, tokens = rb.column(2 + len(SKETCH)).offsets.to_numpy(), rb.column(2 + len(SKETCH)).values.to_numpy()
             for lo in range(0, len(sid), 400):
                 some = np.arange(lo, min(lo + 400, len(sid)))
                 starts, size = offsets[some].astype(np.int64), n[some].astype(np.int64)
@@ -181,38 +184,41 @@ def paths(heavy: np.ndarray, logs: np.ndarray, floor: float, n_records: int, thr
                     out_path.append(path[done])
                     doc, path, logp = doc[~done], path[~done], logp[~done]
                 row = some[np.concatenate(out_doc)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_path).view(np.int64)), pa.array(sid[row]), pa.array(s1[row]), pa.array(s2[row])], ["path", "sid", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_path).view(np.int64)), pa.array(sid[row]), *(pa.array(x[row]) for x in sketch)], ["path", "sid", *SKETCH])
 
     return walk
 
 
 def rarest(heavy: np.ndarray, logs: np.ndarray, floor: float, threshold: float):
-    """A function for ``mapInArrow``: (sid, n, s1, s2, tokens) to ROWS, a row for each of the rarest words of the set."""
+    """A function for ``mapInArrow``: (sid, n, SKETCH, tokens) to ROWS, a row for each of the rarest words of the set."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            sid, n, s1, s2 = (rb.column(i).to_numpy() for i in range(4))
-            t = rb.column(4).flatten().to_numpy()
+            sid, n, *sketch = (rb.column(i).to_numpy() for i in range(2 + len(SKETCH)))
+            t = rb.column(2 + len(SKETCH)).flatten().to_numpy()
             owner = np.repeat(np.arange(len(n)), n)
             h = _token_hash(t)
             order = np.lexsort((h, _logs(t, heavy, logs, floor), owner))
             rank = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
             keep = rank < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)
             row = owner[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(B.mix(h[order][keep] ^ U(0x7F4A7C15)).view(np.int64)), pa.array(sid[row]), pa.array(s1[row]), pa.array(s2[row])], ["path", "sid", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([pa.array(B.mix(h[order][keep] ^ U(0x7F4A7C15)).view(np.int64)), pa.array(sid[row]), *(pa.array(x[row]) for x in sketch)], ["path", "sid", *SKETCH])
 
     return split
 
 
 def tolerance(threshold: float) -> int:
-    """Bits of 128 in which two sketches may differ: agreeing bits have mean (1 + J) / 2; four standard deviations of slack lose about one pair in 30,000."""
-    agree = (1 + threshold) / 2
-    return math.ceil(128 * (1 - agree + 4 * math.sqrt(agree * (1 - agree) / 128)))
+    """Bits in which two sketches may differ: agreeing bits have mean (1 + J) / 2; four standard deviations of slack lose about one pair in 30,000."""
+    agree, bits = (1 + threshold) / 2, 64 * len(SKETCH)
+    return math.ceil(bits * (1 - agree + 4 * math.sqrt(agree * (1 - agree) / bits)))
 
 
-def _bits(a1: np.ndarray, b1: np.ndarray, a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
+def _bits(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Bits in which two sketches differ (counted on unsigned words)."""
-    return np.bitwise_count((a1 ^ b1).view(U)) + np.bitwise_count((a2 ^ b2).view(U))
+    out = np.bitwise_count((a[0] ^ b[0]).view(U)).astype(np.int16)
+    for x, y in zip(a[1:], b[1:]):
+        out += np.bitwise_count((x ^ y).view(U))
+    return out
 
 
 def _pairs_of(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
@@ -222,93 +228,135 @@ def _pairs_of(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
 
 
 def compare(differ: int, large: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for ``mapInArrow`` over ROWS sorted by path: pairs with close sketches, and blocks of buckets over ``large``.
+    """A function for ``mapInArrow`` over ROWS sorted by path, to FOUND: pairs with close sketches, and members of other buckets.
 
-    A pair is a row (sid_a, sid_b); a block is a row with path, number and the members' ids and sketches. A task holds
-    one batch and one block.
+    A pair is a row (sid_a, sid_b). The members of a bucket over ``large`` come as rows (path, over = true, sids), those of
+    a bucket with too many close pairs as (path, over = false, sids). A task holds one batch and ``large`` records at most.
     """
-
-    def blocks(rows: list[np.ndarray], at: int, number: int) -> pa.RecordBatch:
-        path, sid, s1, s2 = (x[at : at + large] for x in rows)
-        one = pa.array([0, len(sid)], pa.int32())
-        none = pa.array([None], pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(path[:1]), pa.array([number], pa.int32()), *(pa.ListArray.from_arrays(one, pa.array(x)) for x in (sid, s1, s2))], names)
-
-    names = ["sid_a", "sid_b", "path", "block", "sids", "s1", "s2"]
+    names = ["sid_a", "sid_b", "path", "over", "sids"]
+
+    def members(path: np.ndarray, sid: np.ndarray, over: bool) -> pa.RecordBatch:
+        none, one = pa.array([None], pa.int64()), pa.array([0, len(sid)], pa.int32())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(path[:1]), pa.array([over]), pa.ListArray.from_arrays(one, pa.array(sid))], names)
+
+    def pairs(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if sum(map(len, a)):
+            x = _pairs_of(np.concatenate(a), np.concatenate(b))
+            n = len(x[0])
+            yield pa.RecordBatch.from_arrays([*x, pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.list_(pa.int64()))], names)
+
+    def wide(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """One bucket, some records against all of it at a time; given up as soon as it is dense."""
+        path, sid, *sketch = rows
+        a, b, found = [], [], 0
+        for lo in range(0, len(sid), 128):
+            near = _bits([x[lo : lo + 128, None] for x in sketch], [x[None, lo:] for x in sketch]) <= differ
+            i, j = np.nonzero(near & (sid[lo : lo + 128, None] != sid[None, lo:]))
+            a.append(sid[lo + i])
+            b.append(sid[lo + j])
+            found += len(i)
+            if found > DENSE * len(sid):
+                yield members(path, sid, False)
+                return
+        yield from pairs(a, b)
+
+    def close(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        path = rows[0]
+        if not len(path):
+            return
+        edge = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]]))
+        size = np.diff(edge)
+        for k in np.flatnonzero(size > WIDE):
+            yield from wide([x[edge[k] : edge[k + 1]] for x in rows])
+        keep = np.repeat(size <= WIDE, size)
+        path, sid, *sketch = (x[keep] for x in rows)
+        if not len(path):
+            return
+        edge = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]]))
+        last = np.repeat(edge[1:] - 1, np.diff(edge))
+        i, d, a, b = np.arange(len(path)), 1, [], []
+        while len(i := i[last[i] >= i + d]):
+            j = i + d
+            near = (_bits([x[i] for x in sketch], [x[j] for x in sketch]) <= differ) & (sid[i] != sid[j])
+            a.append(sid[i[near]])
+            b.append(sid[j[near]])
+            d += 1
+        yield from pairs(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64) for _ in range(4)]
-        split, number = None, 0  # the bucket that is being written as blocks, and its next block
-
-        def close(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            path, sid, s1, s2 = rows
-            edge = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]]))
-            last = np.repeat(edge[1:] - 1, np.diff(edge))
-            i, d, a, b = np.arange(len(path)), 1, [], []
-            while len(i := i[last[i] >= i + d]):
-                j = i + d
-                near = _bits(s1[i], s1[j], s2[i], s2[j]) <= differ
-                near &= sid[i] != sid[j]
-                a.append(sid[i[near]])
-                b.append(sid[j[near]])
-                d += 1
-            if a and sum(map(len, a)):
-                x = _pairs_of(np.concatenate(a), np.concatenate(b))
-                n = len(x[0])
-                yield pa.RecordBatch.from_arrays([*x, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.list_(pa.int64())) for _ in range(3))], names)
-
+        kept = [np.zeros(0, np.int64) for _ in range(2 + len(SKETCH))]
+        split = None  # the bucket over ``large`` that is streaming by
         for rb in batches:
+            if not rb.num_rows:
+                continue
             rows = [np.concatenate([k, rb.column(i).to_numpy()]) for i, k in enumerate(kept)]
             path = rows[0]
-            start = int(np.searchsorted(path, path[-1]))  # the last bucket may go on in the next batch
             edge = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]]))
             size = np.diff(edge)
-            big = [(int(a), int(n)) for a, n in zip(edge[:-1], size) if n > large or path[a] == split]
             normal = np.ones(len(path), bool)
+            start = int(edge[-2])  # the last bucket may go on in the next batch
             normal[start:] = False
-            for a, n in big:
-                normal[a : a + n] = False
-                if path[a] != split:
-                    split, number = path[a], 0
-                whole = n if a < start else n // large * large
-                for at in range(a, a + whole, large):
-                    yield blocks([x[: a + whole] for x in rows], at, number)
-                    number += 1
-                if a >= start:
-                    start = a + whole
+            for a, n in zip(edge[:-1].tolist(), size.tolist()):
+                if n > large or path[a] == split:
+                    split = path[a]
+                    normal[a : a + n] = False
+                    for at in range(a, a + n, large):
+                        yield members(path[a : a + 1], rows[1][at : min(at + large, a + n)], True)
+                    if a == start:
+                        start = a + n
             yield from close([x[normal] for x in rows])
             kept = [x[start:] for x in rows]
         if len(kept[0]):
-            if kept[0][0] == split:
-                yield blocks(kept, 0, number)
-            else:
-                yield from close(kept)
+            yield from close(kept)
 
     return run
 
 
-FOUND = "sid_a bigint, sid_b bigint, path bigint, block int, sids array<bigint>, s1 array<bigint>, s2 array<bigint>"
+FOUND = "sid_a bigint, sid_b bigint, path bigint, over boolean, sids array<bigint>"
 
 
-def _block_pairs(differ: int):
-    """(same, sids, s1, s2 of two blocks) to pairs with close sketches."""
+def _exact(threshold: float):
+    """(same, sids and tokens of a block, those of another) to the pairs at the threshold: a product of word matrices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for k in range(rb.num_rows):
-                a, b = ([rb.column(c)[k].values.to_numpy() for c in cs] for cs in ((1, 2, 3), (4, 5, 6)))
-                out = []
-                for lo in range(0, len(a[0]), 256):
-                    x = [y[lo : lo + 256, None] for y in a]
-                    near = _bits(x[1], b[1], x[2], b[2]) <= differ
-                    near &= x[0] != b[0]
-                    i, j = np.nonzero(near)
-                    out.append((a[0][lo + i], b[0][j]))
-                yield pa.RecordBatch.from_arrays(_pairs_of(*(np.concatenate(x) for x in zip(*out))), ["sid_a", "sid_b"])
+                (sa, ta), (sb, tb) = ((u.field("sid").to_numpy(), u.field("tokens")) for u in (rb.column(c)[k].values for c in (0, 1)))
+                na, nb = (np.diff(t.offsets.to_numpy()) for t in (ta, tb))
+                fa, fb = (t.flatten().to_numpy() for t in (ta, tb))
+                ra, rb_ = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+                both = np.intersect1d(fa, fb)  # words that only one block has are common to no pair
+                common = np.zeros((len(na), len(nb)), np.float32)
+                for lo in range(0, len(both), 4_096):
+                    part = both[lo : lo + 4_096]
+                    m = []
+                    for f, r, n in ((fa, ra, len(na)), (fb, rb_, len(nb))):
+                        at = np.minimum(np.searchsorted(part, f), len(part) - 1)
+                        hit = part[at] == f
+                        x = np.zeros((n, len(part)), np.float32)
+                        x[r[hit], at[hit]] = 1
+                        m.append(x)
+                    common += m[0] @ m[1].T
+                near = common >= (threshold - 1e-6) * (na[:, None] + nb[None, :] - common)
+                i, j = np.nonzero(near & (sa[:, None] != sb[None, :]))
+                yield pa.RecordBatch.from_arrays(_pairs_of(sa[i], sb[j]), ["sid_a", "sid_b"])
 
     return run
 
 
+def _exact_pairs(groups: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
+    """Pairs within each bucket of ``groups(path, sids)``, as pairs of blocks; a bucket's members are never in one task."""
+    rows = groups.select("path", F.explode("sids").alias("sid")).distinct()
+    n = rows.groupBy("path").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    x = rows.join(n, "path").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("n")).cast("int")).select("path", "sid", "block")
+    u = x.join(one.select("sid", "tokens"), "sid").groupBy("path", "block").agg(F.collect_list(F.struct("sid", "tokens")).alias("u"))  # about BLOCK records
+    u = written(u, "blocks")
+    at = n.select("path", F.col("n").cast("int").alias("n")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("q", F.explode(F.sequence(F.col("p"), F.col("n") - 1)))
+    side = lambda c: u.select("path", F.col("block").alias(c), F.col("u").alias(f"u_{c}"))
+    both = at.select("path", "p", "q").join(side("p"), ["path", "p"]).join(side("q"), ["path", "q"])
+    return both.repartition("path", "p", "q").select("u_p", "u_q").mapInArrow(_exact(threshold), "sid_a bigint, sid_b bigint")
+
+
 def _bucketed(rows: DataFrame, differ: int, large: int, name: str) -> DataFrame:
     return written(rows.repartition("path").sortWithinPartitions("path").mapInArrow(compare(differ, large), FOUND), name)
 
@@ -323,17 +371,16 @@ def class_pairs(sets: DataFrame, threshold: float = 0.8, runs: int | None = None
     n_records, mean_size = one.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
     heavy, logs, floor = frequent_tokens(one, n_records, mean_size)
     runs = runs or runs_needed(logs, floor, n_records, mean_size, bucket)
-    source, differ = one.select("sid", "n", "s1", "s2", "tokens"), tolerance(threshold)
+    source, differ = one.select("sid", "n", *SKETCH, "tokens"), tolerance(threshold)
     found = _bucketed(source.mapInArrow(paths(heavy, logs, floor, n_records, threshold, runs, bucket), ROWS), differ, LARGE, "buckets")
-    parts = [found.filter("sids is null").select("sid_a", "sid_b")]
-    if found.filter("sids is not null").limit(1).count():
-        over = found.filter("sids is not null").select(F.explode("sids").alias("sid")).distinct()
+    parts, groups = [found.filter("sids is null").select("sid_a", "sid_b")], found.filter("not over").select("path", "sids")
+    if found.filter("over").limit(1).count():
+        over = found.filter("over").select(F.explode("sids").alias("sid")).distinct()
         again = _bucketed(source.join(small(over, BROADCAST_KEYS), "sid", "left_semi").mapInArrow(rarest(heavy, logs, floor, threshold), ROWS), differ, LARGE, "split")
         parts.append(again.filter("sids is null").select("sid_a", "sid_b"))
-        blocks = again.filter("sids is not null")
-        x, y = (blocks.select("path", F.col("block").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in ("sids", "s1", "s2"))) for p in ("p", "q"))
-        both = x.join(y, "path").filter("p <= q").repartition("path", "p", "q").select((F.col("p") == F.col("q")).alias("same"), "sids_p", "s1_p", "s2_p", "sids_q", "s1_q", "s2_q")
-        parts.append(both.mapInArrow(_block_pairs(differ), "sid_a bigint, sid_b bigint"))
+        groups = groups.unionByName(again.filter("sids is not null").select("path", "sids"))
+    if groups.limit(1).count():
+        parts.append(_exact_pairs(groups, one, threshold))
     pairs = parts[0]
     for p in parts[1:]:
         pairs = pairs.unionByName(p)

@@ -48,10 +48,14 @@ def test_chosen_path_against_all_pairs(spark, threshold, bucket, large, monkeypa
     assert got == want and len(want) > 40
 
 
-def test_a_notice_in_a_third_of_the_records(spark, monkeypatch):
+@pytest.mark.parametrize(("large", "dense"), [(32, 1000), (32, 0), (10_000, 0), (10_000, 32)])
+def test_a_notice_in_a_third_of_the_records(spark, large, dense, monkeypatch):
     """Its words stand together, so its bucket is far larger than its path predicts; nothing is lost and copies stay one class."""
     monkeypatch.setattr(nd, "BUCKET", 8)
-    monkeypatch.setattr(nd, "LARGE", 32)
+    monkeypatch.setattr(nd, "LARGE", large)
+    monkeypatch.setattr(nd, "DENSE", dense)
+    monkeypatch.setattr(nd, "WIDE", 10)
+    monkeypatch.setattr(nd, "BLOCK", 16)
     notice = " ".join(f"n{i}" for i in range(30))
     texts = [t + " " + notice if i // 4 % 3 == 0 else t for i, t in enumerate(corpus(600, 6, 40, 3000))] + [notice] * 200
     rows = [(f"k{i:03d}", t) for i, t in enumerate(texts)]
@@ -63,22 +67,25 @@ def test_a_notice_in_a_third_of_the_records(spark, monkeypatch):
     assert got <= want and len(want - got) <= 1
 
 
-@pytest.mark.parametrize("large", [4, 5, 1000])
-def test_streamed_buckets_give_each_pair_once(large):
+@pytest.mark.parametrize(("large", "dense"), [(4, 1000), (5, 1000), (1000, 1000), (1000, 2)])
+def test_streamed_buckets_give_each_pair_once(large, dense, monkeypatch):
     import numpy as np
     import pyarrow as pa
 
+    monkeypatch.setattr(nd, "DENSE", dense)
+    monkeypatch.setattr(nd, "WIDE", 8)
     rng = np.random.default_rng(4)
     path = np.sort(rng.integers(-3, 3, 60))
     sid, s1 = np.arange(60), rng.integers(-(2**62), 2**62, 60)
-    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (path, sid, s1, s1 * 0)], ["path", "sid", "s1", "s2"])
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (path, sid, s1, s1 * 0)], ["path", "sid", *nd.SKETCH])
     for step in (1, 7, 60):
         out = pa.Table.from_batches(nd.compare(128, large)(rows.slice(i, step) for i in range(0, 60, step))).to_pylist()
         size = {p: int((path == p).sum()) for p in set(path.tolist())}
-        assert {(r["sid_a"], r["sid_b"]) for r in out if r["sids"] is None} == {(i, j) for i in range(60) for j in range(i + 1, 60) if path[i] == path[j] and size[int(path[i])] <= large}
+        given = {p for p, n in size.items() if n > large or (n > 8 and n * (n - 1) / 2 > dense * n)}
+        assert {(r["sid_a"], r["sid_b"]) for r in out if r["sids"] is None} == {(i, j) for i in range(60) for j in range(i + 1, 60) if path[i] == path[j] and int(path[i]) not in given}
         for p, n in size.items():
-            blocks = sorted((r["block"], r["sids"]) for r in out if r["path"] == p)
-            assert [x for _, b in blocks for x in b] == (np.flatnonzero(path == p).tolist() if n > large else []) and [k for k, _ in blocks] == list(range(len(blocks)))
+            assert [x for r in out if r["path"] == p for x in r["sids"]] == (np.flatnonzero(path == p).tolist() if p in given else [])
+            assert {r["over"] for r in out if r["path"] == p} <= {n > large}
 
 
 def test_runs_grow_with_the_records():
