@@ -196,7 +196,7 @@ def hashed_vectors(tf: DataFrame, doc: str, dims: int = 256) -> DataFrame:
     """``(doc, dim, v)``: a deterministic stand-in for a sentence encoder: terms hashed to signed dimensions, unit length."""
     h = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint")
     x = tf.select(doc, (h % dims).cast("int").alias("dim"), F.when(F.floor(h / dims) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"), "tf")
-    v = x.groupBy(doc, "dim").agg(F.sum(F.col("sign") * (1 + F.log("tf"))).alias("v")).filter("v <> 0")
+    v = x.groupBy(doc, "dim").agg(F.sum(F.col("sign") * (1 + F.log("tf"))).alias("v")).filter("abs(v) > 1e-9")  # what cancels out is no dimension, whatever the order of the sum
     return v.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(doc))))
 
 

@@ -33,7 +33,7 @@ _TEXT = "concat_ws(' ', coalesce(objectives, ''), array_to_string(list_transform
 PAIRS = f"""{CTE}, pr0 AS (SELECT family, id AS id_a, lead(id) OVER (PARTITION BY family ORDER BY ay, id) AS id_b FROM e), prs AS (SELECT * FROM pr0 WHERE id_b IS NOT NULL)"""
 FEATURES = f"""ch AS (SELECT id, {_CHUNKS} AS cs FROM c), un AS (SELECT id, generate_subscripts(cs, 1) - 1 AS ix, unnest(cs).label AS label, unnest(cs).text AS text FROM ch),
 ut AS (SELECT id, ix, term, count(*) AS tf FROM (SELECT id, ix, unnest({_terms('text')}) AS term FROM un) GROUP BY ALL), uh AS (SELECT id, ix, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h, tf FROM ut),
-u0 AS (SELECT id, ix, h % 256 AS dim, sum(CASE WHEN (h // 256) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + ln(tf))) AS v FROM uh GROUP BY ALL HAVING v <> 0), uv AS (SELECT id, ix, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id, ix)) AS v FROM u0),
+u0 AS (SELECT id, ix, h % 256 AS dim, sum(CASE WHEN (h // 256) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + ln(tf))) AS v FROM uh GROUP BY ALL HAVING abs(v) > 1e-9), uv AS (SELECT id, ix, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id, ix)) AS v FROM u0),
 ud AS (SELECT id, ix, any_value(label) AS label, list(coalesce(v, 0) ORDER BY dim) AS v FROM (SELECT id, ix, label, unnest(range(0, 256)) AS dim FROM un) LEFT JOIN uv USING (id, ix, dim) GROUP BY ALL),
 sm AS (SELECT id_a, id_b, a.ix AS ia, b.ix AS ib, a.label AS la, b.label AS lb, round(list_dot_product(a.v, b.v), 9) AS s FROM prs JOIN ud a ON a.id = id_a JOIN ud b ON b.id = id_b), ma AS (SELECT id_a, id_b, ia, max(s) AS m FROM sm GROUP BY ALL), mb AS (SELECT id_a, id_b, ib, max(s) AS m FROM sm GROUP BY ALL),
 fa AS (SELECT id_a, id_b, avg((m >= {TAU})::INT) AS cov_a, avg(m) AS mean_a, max(m) AS max_unit FROM ma GROUP BY ALL), fb AS (SELECT id_a, id_b, avg((m >= {TAU})::INT) AS cov_b, avg(m) AS mean_b FROM mb GROUP BY ALL),

@@ -136,12 +136,13 @@ def txt_ctfidf_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return L.top(s, "doc_kind", "term", 5).select("doc_kind", "term", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"""WITH tf AS ({_tf('heldout_items', 'item_no', 'text')}), x AS (SELECT item_no, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h, tf FROM tf),
-v AS (SELECT item_no, (h % 256)::INT AS dim, sum(CASE WHEN (h // 256) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + ln(tf))) AS v FROM x GROUP BY ALL HAVING v <> 0)
-SELECT item_no, dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_no)), 6) AS v FROM v""")
+@query(f"""WITH tf AS ({_tf('(SELECT DISTINCT doc_id, text FROM documents)', 'doc_id', 'text')}), x AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h, tf FROM tf),
+v AS (SELECT doc_id, (h % 256)::INT AS dim, sum(CASE WHEN (h // 256) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + ln(tf))) AS v FROM x GROUP BY ALL HAVING abs(v) > 1e-9)
+SELECT doc_id, dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS v FROM v""")
 def vec_hash_encode(spark: SparkSession, d: str) -> DataFrame:
-    v = L.hashed_vectors(L.counts(_items(spark, d), ["item_no"], F.col("text")), "item_no")
-    return v.select("item_no", "dim", F.round("v", 6).alias("v"))
+    """Every document as a hashed vector, its dimensions as rows."""
+    v = L.hashed_vectors(L.counts(table(spark, d, "documents").select("doc_id", "text").distinct(), ["doc_id"], F.col("text")), "doc_id")
+    return v.select("doc_id", "dim", F.round("v", 6).alias("v"))
 
 
 _SPLIT = r"list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\s+'), lambda w: w <> '')"

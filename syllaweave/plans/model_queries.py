@@ -227,7 +227,7 @@ def sum_guarded(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CTE}, ss AS (SELECT id, generate_subscripts(s, 1) AS i, unnest(s) AS sentence FROM (SELECT id, list_filter(list_transform(units, lambda u: array_to_string((list_filter(regexp_split_to_array(trim(coalesce(u.text, '')), '\\s+'), lambda w: w <> ''))[1:30], ' ')), lambda t: t <> '') AS s FROM c)),
-tf AS (SELECT id, i, term, count(*) AS tf FROM (SELECT id, i, unnest({LEX._terms('sentence')}) AS term FROM ss) GROUP BY ALL), h AS (SELECT id, i, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h, tf FROM tf), v0 AS (SELECT id, i, h % 256 AS dim, sum(CASE WHEN (h // 256) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + ln(tf))) AS v FROM h GROUP BY ALL HAVING v <> 0), v AS (SELECT id, i, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id, i)) AS v FROM v0),
+tf AS (SELECT id, i, term, count(*) AS tf FROM (SELECT id, i, unnest({LEX._terms('sentence')}) AS term FROM ss) GROUP BY ALL), h AS (SELECT id, i, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h, tf FROM tf), v0 AS (SELECT id, i, h % 256 AS dim, sum(CASE WHEN (h // 256) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + ln(tf))) AS v FROM h GROUP BY ALL HAVING abs(v) > 1e-9), v AS (SELECT id, i, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id, i)) AS v FROM v0),
 n AS (SELECT id, count(DISTINCT i) AS n FROM v GROUP BY 1), m AS (SELECT id, dim, sum(v) / any_value(n) AS m FROM v JOIN n USING (id) GROUP BY ALL), d AS (SELECT id, i, round(sum(v * m), 9) AS s FROM v JOIN m USING (id, dim) GROUP BY ALL), t AS (SELECT id, i FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, i) <= 2)
 SELECT id, string_agg(sentence, ' ' ORDER BY i) AS summary FROM t JOIN ss USING (id, i) GROUP BY 1""")
 def sum_centroid(spark: SparkSession, d: str) -> DataFrame:
@@ -290,3 +290,25 @@ def txt_topic_classifier(spark: SparkSession, d: str) -> DataFrame:
     u = versions(spark, d).select("id", F.explode("units").alias("u")).select("id", F.lower(F.trim("u.title")).alias("t"), "u.text").filter("t <> ''")
     top = u.groupBy("t").agg(F.count_distinct("id").alias("n")).orderBy(F.desc("n"), "t").limit(4).select("t")  # the labels that are modelled
     return models.one_against_rest(u.groupBy("id", "text").agg(F.collect_set("t").alias("labels")), "text", "labels", [r[0] for r in top.collect()], "id")
+
+
+# the second rule set of prerequisite flags, whose query stands with the schedule
+_CS = "list_distinct(list_transform(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z]+'), lambda w: w NOT IN (" + _GEN + ")), lambda t: regexp_replace(t, 's$', '')))"
+
+
+def _close(out: str, phrases: str, texts: str, least: float) -> str:
+    """CTEs that end in ``out(phrase, text, sim)``: cosine of content words of ``phrases`` and ``texts``."""
+    return f"""{out}_p AS (SELECT phrase, len(w) AS n, unnest(w) AS k FROM (SELECT phrase, {_CS.format('phrase')} AS w FROM (SELECT DISTINCT phrase FROM {phrases}))), {out}_t AS (SELECT text, len(w) AS n, unnest(w) AS k FROM (SELECT text, {_CS.format('text')} AS w FROM (SELECT DISTINCT text FROM {texts}))),
+{out} AS (SELECT phrase, text, count(*) / sqrt(any_value(p.n) * any_value(t.n)) AS sim FROM {out}_p p JOIN {out}_t t USING (k) GROUP BY ALL HAVING sim >= {least} - 1e-9)"""
+
+
+_TOPICS = "list_filter(list_transform(regexp_split_to_array(coalesce(u.text, ''), '[,;:.()\\n]|\\s[-–]\\s'), lambda t: trim(t, ' ')), lambda t: t <> '')"
+ORACLE["pre_flags_v2"] = f"""WITH RECURSIVE {S.PRE}, {S.SPLIT2}, vp AS (SELECT DISTINCT ck.programme, ck.family, ck.sem, phrase FROM ck JOIN s7 USING (id) WHERE NOT regexp_matches(phrase, '{rules.NON_SUBJECT}')),
+fm AS (SELECT family, arg_min_null(course_name, id) AS name FROM e GROUP BY 1), mw AS (SELECT DISTINCT vp.programme, vp.family, vp.sem, phrase, {_CWD.format('phrase')} AS pw, {_CWD.format('fm.name')} AS nw FROM vp JOIN er ON er.programme = vp.programme AND er.first_sem < vp.sem JOIN fm ON fm.family = er.family),
+mt AS (SELECT DISTINCT programme, family, sem, phrase FROM mw WHERE {_MET.format('nw')}), r0 AS (SELECT * FROM vp ANTI JOIN mt USING (programme, family, sem, phrase)),
+ow AS (SELECT DISTINCT programme, family, unnest({_TOPICS}) AS text FROM (SELECT programme, family, unnest(units) AS u FROM ck)), rpv AS (SELECT family, units FROM e QUALIFY row_number() OVER (PARTITION BY family ORDER BY ay DESC, n_source_files DESC NULLS LAST, id DESC) = 1), ta AS (SELECT DISTINCT family, unnest({_TOPICS}) AS text FROM (SELECT family, unnest(units) AS u FROM rpv)),
+{_close('c1', 'r0', 'ow', P.OWN)}, it AS (SELECT DISTINCT programme, family, phrase FROM c1 JOIN ow USING (text)), r1 AS (SELECT * FROM r0 ANTI JOIN it USING (programme, family, phrase)), cn2 AS (SELECT DISTINCT course_name AS text, family AS resolved_family FROM e),
+{_close('c2', 'r0', 'cn2', P.RESOLVE)}, nr AS (SELECT phrase, resolved_family, sim, text FROM c2 JOIN cn2 USING (text) UNION ALL SELECT phrase, nm.resolved_family, 1.0, phrase FROM (SELECT DISTINCT phrase FROM r0) JOIN nm ON nm.k = regexp_replace(replace(lower(phrase), '&', 'and'), '[^a-z0-9]+', '', 'g')),
+rs AS (SELECT r1.*, nr.resolved_family, nr.sim, nr.text, coalesce(er.first_sem < r1.sem, false) AS before FROM r1 LEFT JOIN nr USING (phrase) LEFT JOIN er ON er.programme = r1.programme AND er.family = nr.resolved_family QUALIFY row_number() OVER (PARTITION BY r1.programme, r1.family, r1.sem, phrase ORDER BY before DESC, round(sim, 9) DESC NULLS LAST, text, nr.resolved_family) = 1),
+{_close('c3', 'r0', 'ta', P.TOPIC)}, kn AS (SELECT er.programme, phrase, min(first_sem) AS taught_sem FROM c3 JOIN ta USING (text) JOIN er ON er.family = ta.family GROUP BY ALL)
+SELECT programme, rs.family, sem, phrase, resolved_family, CASE WHEN resolved_family IS NULL THEN 'assumed_topic_not_taught' ELSE 'not_offered_earlier' END AS type FROM rs LEFT JOIN kn USING (programme, phrase) WHERE CASE WHEN resolved_family IS NULL THEN taught_sem IS NULL OR taught_sem >= sem ELSE resolved_family <> rs.family AND NOT before END"""
