@@ -137,17 +137,24 @@ def rob_perturbed(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query()
+_FLAT = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH {CTE} SELECT id, regexp_replace(replace(lower(coalesce(nullif(trim(course_name), ''), 'Course')), '&', 'and'), '[^a-z0-9]+', '', 'g') AS course_key, len(list_filter(units, lambda u: {_FLAT.format('u.text')} <> '')) AS n_units, coalesce(list_sum(list_transform(units, lambda u: length({_FLAT.format('u.text')}))), 0)::BIGINT AS n_chars,
+length({_FLAT.format('objectives')}) AS n_objectives, {_FLAT.format('prerequisites')} AS prerequisites, len(list_filter(coalesce(outcomes, []), lambda o: len(regexp_split_to_array({_FLAT.format('o.text')}, ' ')) >= 3)) AS n_outcomes FROM c WHERE len(units) > 0""")
 def prs_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Course versions written as booklet pages and parsed again: a round trip over the whole table."""
+    """Course versions with units written as booklet pages and parsed again: a round trip over the whole table."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    numbered = lambda c, mark: F.array_join(F.transform(F.coalesce(c, F.array()), lambda x, i: F.concat((i + 1).cast("string"), F.lit(mark), x["text"])), "\n")
     lines = F.concat_ws(
         "\n", F.concat(F.lit("Program: "), F.coalesce(F.nullif("program", F.lit("")), F.lit("B Tech"))), F.lit("Semester : V"), F.concat(F.lit("Course : "), F.coalesce(F.nullif(F.trim("course_name"), F.lit("")), F.lit("Course"))),
-        F.lit("Module Code: 702CE0C099"), F.concat(F.lit("Pre-requisite: "), F.lit("")), F.concat(F.lit("Objectives: "), F.coalesce("objectives", F.lit(""))), F.lit("Detailed Syllabus:"),
-        F.array_join(F.transform("units", lambda u, i: F.concat((i + 1).cast("string"), F.lit("\n"), u["text"])), "\n"), F.lit("Total"),
+        F.lit("Module Code: 702CE0C099"), F.concat(F.lit("Pre-requisite: "), flat(F.col("prerequisites"))), F.concat(F.lit("Objectives: "), F.coalesce("objectives", F.lit(""))),
+        F.lit("Course Outcomes:"), numbered(F.col("outcomes"), ". "), F.lit("Detailed Syllabus:"), numbered(F.col("units"), "\n"), F.lit("Total"),
     )
     pages = versions(spark, d).filter(F.size("units") > 0).select(F.col("id").alias("path"), F.array(lines).alias("pages"))
     r = P.parse_pages(pages)
-    return r.select(F.col("source").alias("id"), "course_key", F.size("units").alias("n_units"), F.length("objectives").alias("n_objectives"))
+    chars = F.aggregate(F.transform("units", lambda u: F.length(u["text"]).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return r.select(F.col("source").alias("id"), "course_key", F.size("units").cast("bigint").alias("n_units"), chars.alias("n_chars"), F.length("objectives").cast("bigint").alias("n_objectives"), "prerequisites", F.size("outcomes").cast("bigint").alias("n_outcomes"))
 
 
 _SQ = "length(trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g')))"
