@@ -4,7 +4,8 @@ A record's words are cut where a rolling hash over two words says so (every seco
 three seeds. Digests of chunks of three words or more are joined across the training split and the others only, and
 pairs that share more than one shortest chunk are candidates. Whatever their chunks, all records also meet over bands of
 minima of their word sets, so many that a pair at the threshold has none in common with a chance of MISS at most. A band
-takes more minima the more records there are, so that unrelated records don't meet more often in a larger table.
+takes more minima the more records there are, so that unrelated records don't meet more often in a larger table. Pairs
+that meet in a band are candidates if a bit of each of 128 minima agrees often enough (four standard deviations of slack).
 Candidates are verified by the exact Jaccard of their word sets. The overlap fraction of a verified pair counts the words
 of all its shared chunks, of any length and however common. Records with equal word sets are one class; copies in a
 batch carry their words once. A digest in more than HOT rows (a common opening) makes no candidates: bands do.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from syllaweave.llm import batch as B
 from syllaweave.llm.batch import U
-from syllaweave.llm.near_duplicates import verified
+from syllaweave.llm.near_duplicates import tolerance, verified
 from syllaweave.session import small, written
 
 SEEDS, DIVISOR, LEAST_WORDS, HOT = (1, 2, 3), 2, 3, 256
@@ -103,8 +104,14 @@ def bands(threshold: float, n_records: int) -> tuple[int, int]:
     return minima, math.ceil(math.log(MISS) / math.log1p(-min(threshold**minima, 1 - 1e-9)))
 
 
+BAND_ROWS, SKETCH_BITS = "digest bigint, sid bigint, train boolean, s1 bigint, s2 bigint", 128
+
+
 def _minima(minima: int, n_bands: int):
-    """A function for ``mapInArrow``: (sid, train, words) to (digest, sid, train), a row for each band; each class once in a batch."""
+    """A function for ``mapInArrow``: (sid, train, words) to BAND_ROWS, a row for each band; each class once in a batch.
+
+    The sketch of a record is a bit of each of its first minima, SKETCH_BITS at most.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -114,16 +121,20 @@ def _minima(minima: int, n_bands: int):
                 part = rb.take(pa.array(once[at : at + 2_000]))
                 doc, h = _hashes(part.column(2))
                 start = np.searchsorted(doc, np.arange(part.num_rows))
-                out = []
+                out, sketch, taken = [], [np.zeros(part.num_rows, U), np.zeros(part.num_rows, U)], 0
                 for i in range(n_bands):
                     digest = np.full(part.num_rows, i + 1, U)
                     for j in range(0, minima, 2):  # a 64-bit hash serves for two minima
                         v = B.mix(h ^ U((i * minima + j + 1) * 0x9E3779B97F4A7C15 % 2**64))
                         for x in (v.astype(np.uint32), (v >> U(32)).astype(np.uint32))[: minima - j]:
-                            digest = B.mix(digest * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, start))
+                            least = np.minimum.reduceat(x, start)
+                            digest = B.mix(digest * U(0x9E3779B97F4A7C15) + least)
+                            if taken < SKETCH_BITS:
+                                sketch[taken // 64] |= (B.mix(least.astype(U)) & U(1)) << U(taken % 64)
+                                taken += 1
                     out.append(digest)
-                cols = [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(part.column(0).to_numpy(), n_bands)), pa.array(np.tile(part.column(1).to_numpy(zero_copy_only=False), n_bands))]
-                yield pa.RecordBatch.from_arrays(cols, ["digest", "sid", "train"])
+                each = [part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False), *(x.view(np.int64) for x in sketch)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(pa.array(np.tile(x, n_bands)) for x in each)], ["digest", "sid", "train", "s1", "s2"])
 
     return make
 
@@ -170,9 +181,12 @@ def cross_split(records: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     usable = written(both.filter(F.col("rows") <= HOT).select("digest", "sid", (side == 1).alias("train"), F.shiftright("info", 1).alias("len")), "digests")
     a, b = usable.filter("train").select("digest", "len", F.col("sid").alias("sid_a")), usable.filter("not train").select("digest", F.col("sid").alias("sid_b"))
     chunked = a.join(b, "digest").filter("sid_a <> sid_b").groupBy("sid_a", "sid_b").agg(F.sum("len").alias("words")).filter(F.col("words") > LEAST_WORDS).select("sid_a", "sid_b")
-    keys = _minima(*bands(threshold, made.count()))
-    x, y = (source.filter(c).mapInArrow(keys, "digest bigint, sid bigint, train boolean").select("digest", F.col("sid").alias(s)) for c, s in (("train", "sid_a"), ("not train", "sid_b")))
-    banded = x.join(y, "digest").filter("sid_a <> sid_b").select("sid_a", "sid_b")
+    minima, n_bands = bands(threshold, made.count())
+    keys, bits = _minima(minima, n_bands), min(SKETCH_BITS, minima * n_bands)
+    x, y = (source.filter(c).mapInArrow(keys, BAND_ROWS).select("digest", F.col("sid").alias(f"sid_{s}"), F.col("s1").alias(f"s1_{s}"), F.col("s2").alias(f"s2_{s}")) for c, s in (("train", "a"), ("not train", "b")))
+    # records that share a notice meet in many bands but have other minima: their pairs end here, not in the verification
+    differ = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
+    banded = x.join(y, "digest").filter((F.col("sid_a") != F.col("sid_b")) & (differ <= tolerance(threshold, bits))).select("sid_a", "sid_b")
     pairs = written(chunked.unionByName(banded).distinct(), "pairs")
     sims = verified(pairs, bodies.select("sid", "n", F.col("words").alias("tokens")), threshold).select("sid_a", "sid_b", "sim")
     text = lambda c, s: bodies.filter(c).dropDuplicates(["sid", "seq"]).select(F.col("sid").alias(f"sid_{s}"), F.col("seq").alias(f"seq_{s}"), F.col("words").alias(f"words_{s}"))

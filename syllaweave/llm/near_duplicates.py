@@ -210,9 +210,9 @@ def rarest(heavy: np.ndarray, logs: np.ndarray, floor: float, threshold: float):
     return split
 
 
-def tolerance(threshold: float) -> int:
+def tolerance(threshold: float, bits: int = 64 * len(SKETCH)) -> int:
     """Bits in which two sketches may differ: agreeing bits have mean (1 + J) / 2; four standard deviations of slack lose about one pair in 30,000."""
-    agree, bits = (1 + threshold) / 2, 64 * len(SKETCH)
+    agree = (1 + threshold) / 2
     return math.ceil(bits * (1 - agree + 4 * math.sqrt(agree * (1 - agree) / bits)))
 
 
