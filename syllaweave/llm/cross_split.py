@@ -5,7 +5,7 @@ three seeds. Digests of chunks of three words or more are joined across the trai
 pairs that share more than one shortest chunk are candidates. Whatever their chunks, all records also meet over bands of
 minima of their word sets, so many that a pair at the threshold has none in common with a chance of MISS at most. A band
 takes more minima the more records there are, so that unrelated records don't meet more often in a larger table. Pairs
-that meet in a band are candidates if a bit of each of 128 minima agrees often enough (four standard deviations of slack).
+that meet in a band are candidates if a bit of each of 64 minima agrees often enough (four standard deviations of slack).
 Candidates are verified by the exact Jaccard of their word sets. The overlap fraction of a verified pair counts the words
 of all its shared chunks, of any length and however common. Records with equal word sets are one class; copies in a
 batch carry their words once. A digest in more than HOT rows (a common opening) makes no candidates: bands do.
@@ -104,7 +104,7 @@ def bands(threshold: float, n_records: int) -> tuple[int, int]:
     return minima, math.ceil(math.log(MISS) / math.log1p(-min(threshold**minima, 1 - 1e-9)))
 
 
-BAND_ROWS, SKETCH_BITS = "digest bigint, sid bigint, train boolean, s1 bigint, s2 bigint", 128
+BAND_ROWS, SKETCH_BITS = "digest bigint, sid bigint, train boolean, sketch bigint", 64
 
 
 def _minima(minima: int, n_bands: int):
@@ -121,7 +121,7 @@ def _minima(minima: int, n_bands: int):
                 part = rb.take(pa.array(once[at : at + 2_000]))
                 doc, h = _hashes(part.column(2))
                 start = np.searchsorted(doc, np.arange(part.num_rows))
-                out, sketch, taken = [], [np.zeros(part.num_rows, U), np.zeros(part.num_rows, U)], 0
+                out, sketch, taken = [], np.zeros(part.num_rows, U), 0
                 for i in range(n_bands):
                     digest = np.full(part.num_rows, i + 1, U)
                     for j in range(0, minima, 2):  # a 64-bit hash serves for two minima
@@ -130,11 +130,11 @@ def _minima(minima: int, n_bands: int):
                             least = np.minimum.reduceat(x, start)
                             digest = B.mix(digest * U(0x9E3779B97F4A7C15) + least)
                             if taken < SKETCH_BITS:
-                                sketch[taken // 64] |= (B.mix(least.astype(U)) & U(1)) << U(taken % 64)
+                                sketch |= (B.mix(least.astype(U)) & U(1)) << U(taken)
                                 taken += 1
                     out.append(digest)
-                each = [part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False), *(x.view(np.int64) for x in sketch)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(pa.array(np.tile(x, n_bands)) for x in each)], ["digest", "sid", "train", "s1", "s2"])
+                each = [part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False), sketch.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(pa.array(np.tile(x, n_bands)) for x in each)], ["digest", "sid", "train", "sketch"])
 
     return make
 
@@ -183,9 +183,9 @@ def cross_split(records: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     chunked = a.join(b, "digest").filter("sid_a <> sid_b").groupBy("sid_a", "sid_b").agg(F.sum("len").alias("words")).filter(F.col("words") > LEAST_WORDS).select("sid_a", "sid_b")
     minima, n_bands = bands(threshold, made.count())
     keys, bits = _minima(minima, n_bands), min(SKETCH_BITS, minima * n_bands)
-    x, y = (source.filter(c).mapInArrow(keys, BAND_ROWS).select("digest", F.col("sid").alias(f"sid_{s}"), F.col("s1").alias(f"s1_{s}"), F.col("s2").alias(f"s2_{s}")) for c, s in (("train", "a"), ("not train", "b")))
+    x, y = (source.filter(c).mapInArrow(keys, BAND_ROWS).select("digest", F.col("sid").alias(f"sid_{s}"), F.col("sketch").alias(f"sketch_{s}")) for c, s in (("train", "a"), ("not train", "b")))
     # records that share a notice meet in many bands but have other minima: their pairs end here, not in the verification
-    differ = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
+    differ = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
     banded = x.join(y, "digest").filter((F.col("sid_a") != F.col("sid_b")) & (differ <= tolerance(threshold, bits))).select("sid_a", "sid_b")
     pairs = written(chunked.unionByName(banded).distinct(), "pairs")
     sims = verified(pairs, bodies.select("sid", "n", F.col("words").alias("tokens")), threshold).select("sid_a", "sid_b", "sim")
