@@ -284,3 +284,13 @@ def test_equal_raters_give_the_label_of_most_votes(spark):
     got = {r.item: (r.label, r.probability, r.n_votes) for r in consensus.fit(df, ["correct", "wrong"], **TIED).posterior.collect()}
     sure = {i: x for i, (x, p, n) in got.items() if n >= 2 and p > 0.5 + 1e-6}
     assert sure == {"a": "correct", "b": "correct", "d": "wrong", "f": "wrong", "g": "correct"} and abs(got["c"][1] - 0.5) < 1e-6
+
+
+def test_ties_stay_uncertain_in_many_items(spark, tmp_path):
+    """A label that nearly all of 9,000 items have decides neither an item with one vote for each label nor one with one vote."""
+    from syllaweave.llm.queries import p6_found
+
+    rows = [(f"i{i}", "correct", "correct", "correct", "A", "B", "C", "correct") for i in range(9_000)]
+    rows += [("tie", "correct", "wrong", None, "A", "B", "C", "uncertain"), ("one", "correct", None, "", "A", "B", "C", "correct"), ("most", "wrong", "c", "w", "A", "B", "C", "correct")]
+    spark.createDataFrame(rows, VOTES).write.parquet(f"{tmp_path}/jdskills_llm.parquet")
+    assert sorted(tuple(r) for r in p6_found(spark, str(tmp_path)).collect()) == [("most", "wrong"), ("one", "uncertain")]
