@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from syllaweave.functions import course as C
 from syllaweave.functions.text import jaccard, words_of
 from syllaweave.operators import lexical as L
+from syllaweave.operators.text_pairs import text_pairs
 from syllaweave.plans.catalog_queries import CTE, enriched, versions
 from syllaweave.session import written
 from syllaweave.sources.tables import table
@@ -46,14 +47,9 @@ raw AS (SELECT tf.*, df.df, (1 + ln(tf)) * (ln((1.0 + n)::DOUBLE / (1.0 + df)::D
 w AS (SELECT source, doc_id, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY source, doc_id)) AS w FROM raw)"""
 
 
-def _doc_weights(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return L.tfidf(L.counts(docs, ["source", "doc_id"], F.col("text"), 2), ["source", "doc_id"], docs.count())
-
-
 @query(f"WITH {_DOC_TFIDF} SELECT a.source, a.doc_id AS doc_a, b.doc_id AS doc_b, round(sum(a.w * b.w), 6) AS sim FROM w a JOIN w b ON a.source = b.source AND a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.5")
 def ov_tfidf_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = L.cosine_pairs(_doc_weights(spark, d), "doc_id", "source", 0.5)
+    p = text_pairs(table(spark, d, "documents"), "doc_id", "source", F.col("text"), 0.5, ngrams=2)
     return p.select("source", "doc_a", "doc_b", F.round("sim", 6).alias("sim"))
 
 
