@@ -78,3 +78,30 @@ def test_tfidf_pairs_shuffle_no_vectors(spark, tmp_path):
     before = moved()
     assert {(r.doc_a, r.doc_b) for r in ov_tfidf_pairs(spark, str(tmp_path)).collect()} >= {(k, 2_000 + k) for k in range(5)}
     assert 0 < moved() - before < 3 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("alike", [30, 4])
+def test_course_baseline_shuffles_no_vectors(spark, tmp_path, alike):
+    """The twenty closest of 700 courses as in SQL, with more and with fewer than twenty pairs over the first bound."""
+    import duckdb
+
+    from syllaweave.plans.model_queries import ORACLE, red_course_baseline
+
+    rng = random.Random(alike)
+    words = ["w" + "".join(rng.choices("abcdefgh", k=7)) for _ in range(700)]
+    texts = [" ".join(rng.choices(words, k=90)) for _ in range(700)]
+    for k in range(alike):
+        texts[k + 300] = texts[k]
+    for k in range(60):
+        texts[k + 400] = " ".join(texts[k + 100].split()[:60] + rng.choices(words, k=30))
+    rows = [(f"v{k:03d}", f"key {k}", None, "C1", "2023-24", "III", "", [f"2/{p}/a.pdf" for p in ("IT", "CIVIL")[: 1 + k % 2]], 1, "", [(t[:200], [1])], [("a", t[200:], 1)]) for k, t in enumerate(texts)]
+    kinds = "id string, course_key string, course_name string, code string, academic_year string, semester string, program string, source_files array<string>, n_source_files int, objectives string, outcomes array<struct<text: string, k_levels: array<int>>>, units array<struct<title: string, text: string, hours: int>>"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/courses_small.parquet")
+    moved = lambda: sum(e.totalShuffleWrite() for e in [x.apply(i) for x in [spark.sparkContext._jsc.sc().statusStore().executorList(False)] for i in range(x.size())])
+    before = moved()
+    got = sorted(tuple(r) for r in red_course_baseline(spark, str(tmp_path)).collect())
+    took = moved() - before
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW courses_small AS SELECT * FROM '{tmp_path}/courses_small.parquet/*.parquet'")
+        assert got == sorted(c.execute(ORACLE["red_course_baseline"]).fetchall()) and len(got) == 20
+    assert 0 < took < 6 * sum(map(len, texts))
